@@ -216,3 +216,23 @@ def identify(df: DataFrame, network: Network | None) -> DataFrame:
             yield rows(PREDICTED, doc_id=batch["doc_id"], held_out=batch["held_out"], lang_pred=langs, score=scores, n_positions=sizes)
 
     return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out("doc_id").alias("held_out")), work, PREDICTED)
+
+
+def accepted(df: DataFrame, network: Network | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``df``, all columns, whose text has a language with a pooled probability of at least ``least``.
+
+    Texts that are null or have no letter go; so do those of which no language
+    holds half.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(network)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = sent.value
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            at = [i for i, t in enumerate(texts) if net and t and any(map(str.isalpha, t))]
+            if at:
+                keep = np.array(at)[pooled(net, [texts[i] for i in at]).max(axis=1) >= least]
+                yield batch.take(pa.array(keep))
+
+    return map_batches(df, work, df.schema)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import brown, chat, minhash, secretscan
 from .common import table
 from .decontam import contaminated
 from .langid import identify, learn
@@ -23,6 +24,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates."""
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to token files in ascending order and read back."""
     return token_file_round_trip(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
@@ -64,12 +70,30 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret in documents with the forest's verdict."""
+    vocabulary = public_path("word_bpe_49k.json")
+    forest = secretscan.fit(secretscan.example_findings(), secretscan.dictionary(vocabulary))
+    return secretscan.scan(table(spark, sf_dir, "documents"), forest, vocabulary)
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under a class-based bigram model of the documents that aren't held out."""
+    documents = table(spark, sf_dir, "documents")
+    return brown.score(documents, *brown.learn(documents))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every hundredth embedding."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns, repaired and rendered."""
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e
@@ -89,7 +113,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 def queries() -> dict[str, Query]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_packing, op3_token_files, op4_line_dedup, op5_language, op6_decontamination, op9_top_k)}
+    return {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_token_files, op4_line_dedup, op5_language, op6_decontamination, op7_secret_scan, op8_lm_score, op9_top_k, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
