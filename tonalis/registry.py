@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import photo_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {}
+    return {name: f for name, (f, _) in photo_queries.FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by the name of the query."""
-    return {}
+    return {name: sql for name, (_, sql) in photo_queries.FOUND.items() if sql}
