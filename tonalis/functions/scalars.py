@@ -25,9 +25,9 @@ def ev100(iso: Column, aperture: Column, seconds: Column) -> Column:
 def develop_map(text: Column) -> Column:
     """``map<string,string>`` of the settings in a develop text; of repeated keys the last counts."""
     pattern = F.lit(r'(\w+)\s*=\s*("[^"]*"|true|false|-?[\d.]+)')
-    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("v"))
-    last = F.aggregate(pairs, F.expr("map()").cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["0"]), F.create_map(p["0"], F.trim(p["1"], F.lit('"')))))
-    return last
+    pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda k, v: F.struct(k.alias("k"), F.trim(v, F.lit('"')).alias("v")))
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    return F.aggregate(pairs, none, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
 def canonical_json(settings: Column) -> Column:

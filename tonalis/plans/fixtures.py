@@ -54,4 +54,4 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job events: submitted, polled, or a result."""
     kind = F.when(F.col("event_type").isin("click", "view"), "submit").when(F.col("event_type") == "signup", "poll").otherwise("result")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("worker"), kind.alias("kind"), F.when(kind == "result", F.when(F.col("event_type") == "purchase", "ok").otherwise("error")).alias("status"), "ts")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("worker"), kind.alias("kind"), F.when(kind == "result", F.when(F.col("event_type") == "purchase", "ok").otherwise("error")).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
