@@ -30,7 +30,7 @@ def slope_at(samples: Column, level: Column, prior: float = 17.0) -> Column:
     real = F.filter(pairs, lambda p: p["w"] > 1e-9)
     near = F.array_min(F.transform(real, lambda p: p["away"]))
     best = F.get(F.filter(real, lambda p: p["away"] == near), F.lit(0))["slope"]
-    return F.coalesce(F.greatest(best, F.lit(1.0)), F.lit(prior))
+    return F.when(best.isNotNull(), F.greatest(best, F.lit(1.0))).otherwise(F.lit(prior))
 
 
 def exposure(samples: DataFrame, how: Plan = Plan()) -> DataFrame:

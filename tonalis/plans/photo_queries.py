@@ -197,7 +197,7 @@ _KIND = "CAST(profile AS INTEGER) % 3"
 RESPONSE = f"""resp AS (SELECT DISTINCT profile, {_KIND} AS kind, CASE {_KIND} WHEN 0 THEN 4.0e0 WHEN 2 THEN 1.0e0 ELSE 0 END AS jat, CASE {_KIND} WHEN 0 THEN 0.5e0 WHEN 2 THEN 2.0e0 ELSE 0 END AS jan,
   CASE {_KIND} WHEN 0 THEN 0.3e0 WHEN 2 THEN 0.5e0 ELSE 0 END AS jbt, CASE {_KIND} WHEN 0 THEN 2.0e0 WHEN 2 THEN 1.0e0 ELSE 0 END AS jbn, CASE {_KIND} WHEN 0 THEN 0.5e0 ELSE 0 END AS g FROM photo),
 seg AS (SELECT * FROM (VALUES (0, 1, 33e0, 50e0, 17e0), (0, 2, 50e0, 67e0, 17e0), (2, 1, 40e0, 50e0, 10e0), (2, 3, 55e0, 52e0, -3e0)) v(kind, ord, l0, l1, slope))"""
-SLOPE = lambda level: f"coalesce((SELECT greatest(1, arg_min(slope, struct_pack(a := greatest(0, least(l0,l1)-({level}), ({level})-greatest(l0,l1)), o := ord))) FROM seg WHERE seg.kind = q.kind), 17.0e0)"
+SLOPE = lambda level: f"coalesce((SELECT greatest(1, arg_min(slope, struct_pack(a := greatest(0, least(l0,l1)-({level}), ({level})-greatest(l0,l1)), o := ord))) FROM seg WHERE seg.kind = q.kind HAVING count(*) > 0), 17.0e0)"
 
 
 def responses(photos: DataFrame) -> DataFrame:
