@@ -41,6 +41,38 @@ HEAD, TAIL, BLOCK_HEAD = struct.Struct("<4sI"), struct.Struct("<QQQQ4s"), struct
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each row's values one after the other, as bytes; 64 values fill ``width`` 64-bit words."""
+    rows_ = len(values)
+    if not width:
+        return np.zeros((rows_, 0), np.uint8)
+    lanes = np.ascontiguousarray((values & np.uint32((1 << width) - 1)).astype(np.uint64).reshape(-1, 64).T)
+    words = np.zeros((width, lanes.shape[1]), np.uint64)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        words[word] |= lanes[j] << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= lanes[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8).reshape(rows_, -1)
+
+
+def unpack_bits(packed: np.ndarray, width: int) -> np.ndarray:
+    """What ``pack_bits`` packed, ``BLOCK`` values for each row."""
+    rows_ = len(packed)
+    if not width:
+        return np.zeros((rows_, BLOCK), np.uint32)
+    words = np.ascontiguousarray(np.ascontiguousarray(packed).view("<u8").reshape(-1, width).T)
+    lanes = np.empty((64, words.shape[1]), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | words[word + 1] << np.uint64(64 - shift)
+        lanes[j] = (value & mask).astype(np.uint32)
+    return np.ascontiguousarray(lanes.T).reshape(rows_, BLOCK)
+
+
 def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     """The blocks of ``ids``; all but the last hold ``BLOCK`` ids."""
     if not len(ids):
@@ -50,14 +82,14 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes
     grid = np.concatenate([ids, np.full(short, ids[-1], np.uint32)]).astype(np.uint32).reshape(count, BLOCK)
     low = grid.min(axis=1)
     over = grid - low[:, None]
-    mark = np.sort(over, axis=1)[:, max(0, int(np.ceil(percentile * BLOCK)) - 1)]
+    place = max(0, int(np.ceil(percentile * BLOCK)) - 1)
+    mark = np.partition(over, place, axis=1)[:, place]
     widths = np.frexp(mark.astype(np.float64))[1].astype(np.int64)
     out: list[bytes] = [b""] * count
     for width in np.unique(widths).tolist():
         at = np.flatnonzero(widths == width)
         part = over[at]
-        bits = ((part[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-        packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+        packed = pack_bits(part, width)
         high = part >> np.uint32(width) if width < 32 else np.zeros_like(part)
         block, place = np.nonzero(high)
         ends = np.searchsorted(block, np.arange(len(at) + 1))
@@ -79,10 +111,7 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(widths == width)
         size = BLOCK * width // 8
         packed = np.frombuffer(b"".join(data[s + BLOCK_HEAD.size : s + BLOCK_HEAD.size + size] for s in starts[at].tolist()), np.uint8).reshape(len(at), size)
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(at), BLOCK, width)
-        value = np.zeros((len(at), BLOCK), np.uint32)
-        for k in range(width):
-            value |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
+        value = unpack_bits(packed, width)
         for i, b in enumerate(at.tolist()):
             if n := heads[b][2]:
                 s = int(starts[b]) + BLOCK_HEAD.size + size
@@ -199,7 +228,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, end_id: int =
         shard = context.partitionId()
         draft, final = f"{base}/.draft-{context.taskAttemptId()}", f"{base}/ids-{shard:06d}.tpfr"
         for batch in batches:
-            for name, ids in zip(batch["doc_id"].to_pylist(), cache.encode(batch["text"].to_pylist()), strict=True):
+            for name, ids in zip(batch["doc_id"].to_pylist(), cache.encode(batch["text"]), strict=True):
                 if writer is None:
                     system.create_dir(base, recursive=True)
                     writer = Writer(sink := system.open_output_stream(draft))

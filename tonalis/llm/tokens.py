@@ -5,23 +5,24 @@ applied, so the ids of a text are the ids of its white-space chunks joined
 together.  Natural text repeats its words, so each Python worker remembers the
 ids of the chunks that it has met (up to ``MAX_WORDS``) and hands only new ones
 to the tokenizers library.  The result is identical to encoding the text whole,
-which ``tests/llm/test_tokens.py`` checks on random texts.
+which ``tests/llm/test_operators.py`` checks on random texts.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+from array import array
+from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Remembered chunks; at this number a worker forgets all and starts again.
-MAX_WORDS = 500_000
-#: Characters that every Unicode definition of white space agrees on.
-_ASCII_SPACE = "\t\n\x0b\x0c\r"
+MAX_WORDS = 800_000
 #: Places where a byte-level chunk would not stand alone: a space at either
 #: end of the text or beside other white space.
-_JOINED_SPACE = re.compile(r"^ | $| (?=[\s\x1c-\x1f])|(?<=[\s\x1c-\x1f]) ")
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_JOINED_SPACE = rf"^ | $| {_SPACE}|{_SPACE} "
 
 
 class _Slots(dict):
@@ -62,49 +63,60 @@ class WordCache:
         fresh = self.slots.fresh
         if not fresh:
             return
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum()))
-        starts = len(self.pool) + np.cumsum(lengths) - lengths
-        self.starts = np.concatenate([self.starts, starts])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, flat])
-        fresh.clear()
-
-    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        if self.keeps_space:
+            fresh = [w[1:] if w[:1] == " " else " " + w for w in fresh]
+        flat, sizes = array("I"), np.empty(len(fresh), np.int64)
+        for i in range(0, len(fresh), 10_000):
+            for n, e in enumerate(self.tokenizer.encode_batch_fast(fresh[i : i + 10_000], add_special_tokens=False)):
+                ids = e.ids
+                flat.extend(ids)
+                sizes[i + n] = len(ids)
+        ids = np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32)
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.pool = np.concatenate([self.pool, ids])
+        self.slots.fresh.clear()
+
+    def encode(self, texts: Sequence[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of each text; null and empty texts have none."""
+        if not len(texts):
+            return []
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if len(self.slots) > MAX_WORDS:
             self._forget()
-        find = self.slots.__getitem__
-        numbers: list[np.ndarray | None] = []
         whole: dict[int, str] = {}
-        for i, text in enumerate(texts):
-            if not text:
-                numbers.append(np.zeros(0, np.int64))
-                continue
-            if self.keeps_space:
-                if _JOINED_SPACE.search(text):
-                    whole[i] = text
-                    numbers.append(None)
-                    continue
-                head, *rest = text.split(" ")
-                chunks = [head, *[" " + x for x in rest]]
-            else:
-                for space in _ASCII_SPACE:
-                    text = text.replace(space, " ")
-                chunks = text.split(" ")
-            numbers.append(np.fromiter(map(find, chunks), np.int64, len(chunks)))
+        if self.keeps_space:
+            odd = pc.match_substring_regex(column, _JOINED_SPACE)
+            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                whole[i] = column[i].as_py()
+            if whole:
+                column = pc.if_else(odd, "", column)
+            chunks = pc.split_pattern(column, " ")
+        else:
+            chunks = pc.ascii_split_whitespace(column)
+        sizes = chunks.value_lengths().to_numpy().astype(np.int64)
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        table = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))
+        slots = table[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+        if self.keeps_space:  # the first chunk of a text has no space before it
+            first = np.cumsum(sizes) - sizes
+            heads = [" " + distinct[i] for i in coded.indices.to_numpy()[first].tolist()]
+            slots[first] = np.fromiter(map(self.slots.__getitem__, heads), np.int64, len(heads))
         self._learn()
+        ids, ends = self._gather(slots)
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        out = [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         if whole:
-            ids = self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)
-            whole = dict(zip(whole, (np.array(e.ids, np.uint32) for e in ids), strict=True))
-        return [whole[i] if x is None else self._gather(x) for i, x in enumerate(numbers)]
+            for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.uint32)
+        return out
 
-    def _gather(self, slots: np.ndarray) -> np.ndarray:
+    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.lengths[slots]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.starts[slots] - ends + lengths, lengths) + np.arange(total)]
+        return self.pool[np.repeat(self.starts[slots] - ends + lengths, lengths) + np.arange(total)], ends
 
 
 _caches: dict[tuple[str, bool], WordCache] = {}
