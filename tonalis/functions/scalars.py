@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Fixed value: how a setting is written in a develop text.
+SETTING = r'(\w+)\s*=\s*("[^"]*"|true|false|-?[\d.]+)'
+
 
 def shutter_seconds(shutter: Column) -> Column:
     """Seconds of a shutter text such as ``1/250``, ``0,4 s`` or ``2"``; null if it can't be read.
@@ -24,7 +27,7 @@ def ev100(iso: Column, aperture: Column, seconds: Column) -> Column:
 
 def develop_map(text: Column) -> Column:
     """``map<string,string>`` of the settings in a develop text; of repeated keys the last counts."""
-    pattern = F.lit(r'(\w+)\s*=\s*("[^"]*"|true|false|-?[\d.]+)')
+    pattern = F.lit(SETTING)
     pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda k, v: F.struct(k.alias("k"), F.trim(v, F.lit('"')).alias("v")))
     none = F.from_json(F.lit("{}"), "map<string,string>")
     return F.aggregate(pairs, none, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))

@@ -277,7 +277,7 @@ def path_union(spark: SparkSession, d: str) -> DataFrame:
 _TEXTS = ['s = { Exposure2012 = 0.5, Temperature = 5200, WhiteBalance = "Custom", Look = { Name = "Vivid", Amount = 1 } }', "Exposure2012 = 1, Exposure2012 = -2.25, EnableCalibration = true", "nothing here", ""]
 
 
-@query("""WITH t AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TEXTS)) + """) v(i, s)), m AS (SELECT i, unnest(regexp_extract_all(s, '(\\w+)\\s*=\\s*("[^"]*"|true|false|-?[\\d.]+)', 1)) AS key, unnest(regexp_extract_all(s, '(\\w+)\\s*=\\s*("[^"]*"|true|false|-?[\\d.]+)', 2)) AS v, unnest(range(len(regexp_extract_all(s, '(\\w+)\\s*=\\s*("[^"]*"|true|false|-?[\\d.]+)', 1)))) AS n FROM t) SELECT i, key, trim(arg_max(v, n), '"') AS value FROM m GROUP BY 1, 2""")
+@query("WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TEXTS)) + """) v(i, s)), m AS (SELECT i, unnest(regexp_extract_all(s, '{p}', 1)) AS key, unnest(regexp_extract_all(s, '{p}', 2)) AS v, unnest(range(len(regexp_extract_all(s, '{p}', 1)))) AS n FROM t) SELECT i, key, trim(arg_max(v, n), '"') AS value FROM m GROUP BY 1, 2""".replace("{p}", scalars.SETTING))
 def develop_parse(spark: SparkSession, d: str) -> DataFrame:
     """Settings read from develop texts."""
     rows = spark.createDataFrame(list(enumerate(_TEXTS)), "i int, s string")
