@@ -218,11 +218,11 @@ def identify(df: DataFrame, network: Network | None) -> DataFrame:
     return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out("doc_id").alias("held_out")), work, PREDICTED)
 
 
-def accepted(df: DataFrame, network: Network | None, least: float = 0.5) -> DataFrame:
+def accepted(df: DataFrame, network: Network | None, least: float = 0.35) -> DataFrame:
     """The rows of ``df``, all columns, whose text has a language with a pooled probability of at least ``least``.
 
     Texts that are null or have no letter go; so do those of which no language
-    holds half.
+    holds that much.
     """
     sent = df.sparkSession.sparkContext.broadcast(network)
 
