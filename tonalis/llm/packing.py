@@ -18,7 +18,6 @@ alone.  A run costs at most one padded window.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,35 +73,45 @@ def best_cuts(where: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     if n < 2:
         return [0]
     pos, pen = where.tolist(), penalty.tolist()
-    number = np.full(pos[-1] + 1, -1, np.int64)
-    number[where] = np.arange(n)
-    exact: dict[int, list[int]] = {}
+    number = np.full(pos[-1] + 1, -1, np.int32)
+    number[where] = np.arange(n, dtype=np.int32)
+    later, before = [], []
     size = window // 2
     while size:
-        at = np.flatnonzero(where >= size)
-        before = number[where[at] - size]
-        for i, j in zip(at[before >= 0].tolist(), before[before >= 0].tolist(), strict=True):
-            exact.setdefault(i, []).append(j)
+        at = np.searchsorted(where, size)
+        found = number[where[at:] - size]
+        hit = np.flatnonzero(found >= 0)
+        later.append(at + hit)
+        before.append(found[hit])
         size //= 2
+    after, exact = np.concatenate(later), np.concatenate(before)
+    order = np.argsort(after, kind="stable")
+    exact = exact[order].tolist()
+    ends = np.searchsorted(after[order], np.arange(1, n + 1)).tolist()
     cost, back = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    # the queue holds (cost + position, position, number), least first
+    keys, places, numbers, head, e = [0.0], [0], [0], 0, 0
     for i in range(1, n):
         p = pos[i]
-        oldest = p - window
-        while pos[queue[0][1]] < oldest:
-            queue.popleft()
-        value, j = queue[0]
-        best, of = value + window - p, j
-        if i in exact:
-            for j in exact[i]:
-                if cost[j] < best:
-                    best, of = cost[j], j
+        while places[head] < p - window:
+            head += 1
+        best, of = keys[head] + window - p, numbers[head]
+        end = ends[i]
+        while e < end:
+            j = exact[e]
+            if cost[j] < best:
+                best, of = cost[j], j
+            e += 1
         best += pen[i]
         cost[i], back[i] = best, of
         key = best + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, i))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            places.pop()
+            numbers.pop()
+        keys.append(key)
+        places.append(p)
+        numbers.append(i)
     chosen, i = [], n - 1
     while i:
         chosen.append(pos[i])
@@ -162,7 +171,7 @@ def pack_documents(df: DataFrame, tokenizer: str, window: int = 2048, end_id: in
 
         held = 0
         for batch in batches:
-            for name, ids in zip(batch["doc_id"].to_pylist(), cache.encode(batch["text"].to_pylist()), strict=True):
+            for name, ids in zip(batch["doc_id"].to_pylist(), cache.encode(batch["text"]), strict=True):
                 names.append(name)
                 docs.append(np.append(ids, np.uint32(end_id)).astype("<u4"))
                 held += len(docs[-1])
