@@ -294,6 +294,50 @@ def test_exchange_raises_mutual_information():
     of = brown.exchange(n, classes=3)
     assert len({(a, b) for a, b in zip(of.tolist(), groups.tolist(), strict=True)}) == 3
 
+def test_placed_takes_the_best_class():
+    rng = np.random.default_rng(5)
+    k, size = 5, 40
+    n = rng.poisson(0.4, (size, size)).astype(float)
+    n[np.arange(size), rng.permutation(size)] += 2
+    old = rng.integers(0, k, size)
+
+    def information(of):
+        member = np.eye(k)[of]
+        t = member.T @ n @ member
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(t) - f(t.sum(axis=0)) - f(t.sum(axis=1))
+
+    member = np.eye(k)[old]
+    own = n.diagonal()
+    alone = n - np.diag(own)
+    got = brown.placed(member.T @ n @ member, old, alone.T @ member, alone @ member, own)
+    for w in range(size):
+        tried = [information(np.where(np.arange(size) == w, c, old)) for c in range(k)]
+        assert math.isclose(tried[got[w]], max(tried), rel_tol=1e-9)
+    assert (got != old).any()
+
+
+def test_rare_words_have_classes_of_their_own(spark):
+    rng = random.Random(12)
+    kinds = {"a": ("p", "q"), "b": ("r", "s")}  # rare words of both kinds end alike, and stand where frequent ones do
+    word = lambda k: f"{k}{rng.randrange(2000)}end" if rng.random() < 0.2 else f"{k}{rng.randrange(8)}"
+    docs = [" ".join(f"f{rng.randrange(1100)}" for _ in range(400)) for _ in range(60)]
+    for _ in range(300):
+        docs.append(" ".join(f"{kinds[k][0]} {word(k)} {kinds[k][1]}" for k in rng.choices("ab", k=50)))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    model, classed = brown.learn(df)
+    rows = {r["word"]: (r["class"], r["n"]) for r in classed.collect()}
+    kept = [t for i, t in enumerate(docs) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert {w: n for w, (_, n) in rows.items()} == {brown.number(w.encode()): n for w, n in Counter(w for t in kept for w in [*t.split(), ""]).items()}
+    of = {k: Counter(rows[w][0] for i in range(2000) if (w := brown.number(f"{k}{i}end".encode())) in rows) for k in kinds}
+    best = {k: c.most_common(1)[0] for k, c in of.items()}
+    assert best["a"][0] != best["b"][0] and all(best[k][1] > 0.9 * of[k].total() for k in kinds)
+    # classes that are joined count like those that are broadcast
+    bare = brown.Model(model.head, total=model.total, types=model.types, class_of=model.class_of, transition=model.transition, log_class=model.log_class)
+    both = [sorted(map(tuple, brown.score(df, m, classed).collect())) for m in (model, bare)]
+    for x, y in zip(*both, strict=True):
+        assert x[:5] == y[:5] and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(x[5:], y[5:], strict=True))
+
 
 def brute_top(rows, queries, k):
     whole = lambda v: [math.floor(1024 * float(np.float32(x))) for x in v]

@@ -2,14 +2,18 @@
 
 Words are told apart by a 64-bit number.  Their training counts are one table,
 gathered by a shuffle.  The ``HEAD`` most frequent words and ``SHAPES`` shapes of
-rarer ones (by their last letters) are the symbols that exchange clustering
+all others (by their last letters) are the symbols that exchange clustering
 assigns to classes: each symbol moves to the class that most raises the mutual
-information of successive classes, until none moves.  A text's probability is
-the product of class transitions and word emissions, both smoothed; the share of
-a word in its class is ``(c + 0.5) / (N + 0.5 * types)``, unknown words included.
-
-Counts of at most ``TABLE`` frequent words are broadcast; rarer words meet their
-counts in a join, summed for each text.
+information of successive classes, until none moves.  Then every other training
+word is counted with the classes beside it and makes one exchange step, all at
+once: from its shape's class to the class that most raises the mutual
+information.  A shape's class is left to words that training didn't see.  A
+text's probability is the product of class transitions and word emissions, both
+smoothed; the share of a word in its class is ``(c + 0.5) / (N + 0.5 * types)``,
+unknown words included.
+
+Counts and classes of at most ``TABLE`` frequent words are broadcast; rarer words
+meet theirs in a join, gathered for each text.
 """
 
 from __future__ import annotations
@@ -28,18 +32,25 @@ from .common import map_batches, rows, saved
 from .langid import held_out
 
 HEAD, SHAPES, CLASSES = 1024, 512, 48
-#: Sweeps of exchange clustering at most.
-SWEEPS = 12
 #: Words whose counts are sent to the executors (16 bytes each).
 TABLE = 1 << 18
 #: Weight of the class frequencies in a transition's probability.
 TRANSITION_PRIOR = 10.0
 PARTS, PART = 5, 1
 END = b""
-#: Batches of text whose word counts are summed before they are handed on.
-COUNTS = "word long, shape int, n long"
+#: Words that are placed at once.
+PLACED = 512
+#: The code of a token whose class is still to be joined.
+OPEN = 255
+COUNTS = "word long, n long"
 BIGRAMS = "pair long, n long"
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, word long, n long"
+BESIDE = "word long, old int, seen binary"
+CLASSED = "word long, n long, class int"
+#: A row for each text, with the class of each token, and one for each rare word of a text, with its places.
+CODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, logs double, codes binary, word long, other int, places binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
+#: How often a word has a class before it (slots from 0), after it (slots from CLASSES), or itself before it (the last slot).
+_SEEN = np.dtype([("slot", "u1"), ("n", "<u4")])
 
 
 def number(word: bytes) -> int:
@@ -76,18 +87,15 @@ class Tokens:
         at[self.edges[1:] - 1] = False
         self.codes[at] = codes
 
-    def of_texts(self, use: np.ndarray) -> np.ndarray:
-        """Whether each token belongs to one of the texts in the mask ``use``."""
-        return np.repeat(use, np.diff(self.edges))
-
 
 @dataclass
 class Model:
-    """What scoring needs; ``words`` are sorted, ``head`` maps the numbers of head words to symbols."""
+    """What scoring needs; ``words`` are sorted, ``counts`` and ``classes`` are theirs, ``head`` maps the numbers of head words to symbols."""
 
-    words: np.ndarray
-    counts: np.ndarray
     head: dict[int, int]
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    classes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
     total: int = 0
     types: int = 0
     class_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -103,8 +111,17 @@ class Model:
         return out
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each symbol, by exchange clustering of a symbol x symbol matrix of successions."""
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def _least_gain(total: float) -> float:
+    """What a move has to gain; more than rounding, so that exchange ends."""
+    return 1e-9 + 1e-12 * float(_f(np.float64(total)))
+
+
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Class of each symbol, by exchange clustering of a symbol x symbol matrix of successions, until no symbol moves."""
     n = bigrams.astype(np.float64)
     left, right = n.sum(axis=1), n.sum(axis=0)
     order = np.argsort(-(left + right), kind="stable")
@@ -115,9 +132,10 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     outs, ins = n @ member, n.T @ member
     table = member.T @ outs
     lefts, rights = member.T @ left, member.T @ right
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    f, enough = _f, _least_gain(n.sum())
     diagonal = np.arange(classes)
-    for _ in range(sweeps):
+    moved = 1
+    while moved:
         moved = 0
         for w in order.tolist():
             if not left[w] + right[w]:
@@ -137,7 +155,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
             gain -= f(lefts + left[w]) - f(lefts) + f(rights + right[w]) - f(rights)
             new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + enough:
                 new = old
             table[new] += out
             table[:, new] += into
@@ -151,11 +169,40 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
                 outs[:, new] += n[:, w]
                 ins[:, old] -= n[w]
                 ins[:, new] += n[w]
-        if not moved:
-            break
     return of
 
 
+def placed(table: np.ndarray, old: np.ndarray, into: np.ndarray, out: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The best class of each word (row), each moved alone, by the gain that ``exchange`` has.
+
+    ``table`` are the successions of classes with every word in its ``old`` class;
+    ``into`` and ``out`` count the classes before and after each word (word x
+    class, some in each row), ``own`` its successions to itself.
+    """
+    row = np.arange(len(old))
+    left, right = out.sum(axis=1) + own, into.sum(axis=1) + own
+    gain = np.zeros(out.shape)
+    for beside, across, successions in ((out, into, table.T), (into, out, table)):
+        word, cls = np.nonzero(beside)
+        n = beside[word, cls]
+        # successions of every class and this one, the word itself taken out of its old class
+        cells = successions[cls]
+        cells[np.arange(len(word)), old[word]] -= n
+        same = np.flatnonzero(cls == old[word])
+        cells[same] -= across[word[same]]
+        cells[same, old[word[same]]] -= own[word[same]]
+        gain += np.add.reduceat(_f(cells + n[:, None]) - _f(cells), np.searchsorted(word, row), axis=0)
+    d = np.tile(table.diagonal(), (len(old), 1))
+    d[row, old] -= out[row, old] + into[row, old] + own
+    gain += _f(d + out + into + own[:, None]) - _f(d + out) - _f(d + into) + _f(d)
+    for total, n in ((table.sum(axis=1), left), (table.sum(axis=0), right)):
+        rest = np.tile(total, (len(old), 1))
+        rest[row, old] -= n
+        gain -= _f(rest + n[:, None]) - _f(rest)
+    new = gain.argmax(axis=1)
+    return np.where(gain[row, new] > gain[row, old] + _least_gain(table.sum()), new, old)
+
+
 def _texts(df: DataFrame) -> DataFrame:
     learns = F.col("doc_id").isNotNull() & ~held_out("doc_id", PARTS, PART)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out("doc_id", PARTS, PART).alias("held_out"), learns.alias("learns"))
@@ -164,33 +211,97 @@ def _texts(df: DataFrame) -> DataFrame:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = Tokens(batch["text"])
-        n = np.bincount(tokens.codes[tokens.of_texts(batch["learns"].to_numpy(zero_copy_only=False).astype(bool))], minlength=len(tokens.words))
+        n = np.bincount(tokens.codes, minlength=len(tokens.words))
         at = np.flatnonzero(n)
         if len(at):
-            yield rows(COUNTS, word=tokens.numbers[at], shape=tokens.shapes[at].astype(np.int32), n=n[at])
+            yield rows(COUNTS, word=tokens.numbers[at], n=n[at])
+
+
+def _beside(tokens: Tokens, symbols: np.ndarray, of: np.ndarray) -> pa.RecordBatch | None:
+    """What stands beside each word that is no head word."""
+    codes, cls = tokens.codes, of[symbols][tokens.codes]
+    end = len(tokens.words) - 1
+    at = np.flatnonzero(symbols[codes] >= HEAD)
+    if not len(at):
+        return None
+    first = np.zeros(len(codes), bool)
+    first[tokens.edges[:-1][tokens.edges[:-1] < len(codes)]] = True
+    before = np.where(first[at], end, codes[at - 1])
+    after = codes[at + 1]  # a text's last token is the end
+    twin, next_twin = before == codes[at], after == codes[at]
+    slots = 2 * CLASSES + 1
+    key = np.concatenate([codes[at] * slots + np.where(twin, slots - 1, of[symbols][before]), (codes[at] * slots + CLASSES + cls[at + 1])[~next_twin]])
+    key, n = np.unique(key, return_counts=True)
+    seen = np.empty(len(key), _SEEN)
+    seen["slot"], seen["n"] = key % slots, n
+    word, start = np.unique(key // slots, return_index=True)
+    data, cut = seen.tobytes(), (np.append(start, len(key)) * _SEEN.itemsize).tolist()
+    return rows(BESIDE, word=tokens.numbers[word], old=of[symbols[word]].astype(np.int32), seen=[data[i:j] for i, j in zip(cut, cut[1:], strict=False)])
+
+
+def _place(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The class and count of each word from its ``BESIDE`` rows, which come together."""
+    held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+
+    def done(last: bool) -> Iterator[pa.RecordBatch]:
+        word, old = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        seen = [x for h in held for x in h[2]]
+        end = len(word) if last or not len(word) else int(np.flatnonzero(word != word[-1])[-1] + 1) if (word != word[-1]).any() else 0
+        held[:] = [] if last else [(word[end:], old[end:], seen[end:])]
+        starts = np.flatnonzero(np.append(True, word[1:end] != word[: end - 1])) if end else np.zeros(0, np.int64)
+        for i in range(0, len(starts), PLACED):
+            part = starts[i : i + PLACED]
+            stop = int(starts[i + PLACED]) if i + PLACED < len(starts) else end
+            mine = seen[int(part[0]) : stop]
+            data = np.frombuffer(b"".join(mine), _SEEN)
+            owner = np.repeat(np.searchsorted(part, np.arange(int(part[0]), stop), "right") - 1, [len(x) // _SEEN.itemsize for x in mine])
+            slots = 2 * CLASSES + 1
+            n = np.bincount(owner * slots + data["slot"], data["n"], len(part) * slots).reshape(-1, slots)
+            into, out, own = n[:, :CLASSES], n[:, CLASSES:-1], n[:, -1]
+            new = placed(table, old[part].astype(np.int64), into, out, own)
+            yield rows(CLASSED, word=word[part], n=(into.sum(axis=1) + own).astype(np.int64), **{"class": new.astype(np.int32)})
+
+    for batch in batches:
+        held.append((batch["word"].to_numpy(), batch["old"].to_numpy(), batch["seen"].to_pylist()))
+        yield from done(False)
+    if held:
+        yield from done(True)
+
+
+def _classes_of(codes: pa.Array, gathered: pa.Array) -> Iterator[np.ndarray]:
+    """The class of each token of each text, those of its rare words (``class``, ``places``) filled in."""
+    for data, more in zip(codes.to_pylist(), gathered.to_pylist(), strict=True):
+        of = np.frombuffer(data, np.uint8)
+        if more:
+            of = of.copy()
+            at = np.frombuffer(b"".join(m["places"] for m in more), "<i4")
+            of[at] = np.repeat([m["class"] for m in more], [len(m["places"]) // 4 for m in more])
+        yield of.astype(np.int64)
+
+
+def _transitions(texts: DataFrame) -> DataFrame:
+    """Successions of classes (``pair``, ``n``) in coded texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for of in _classes_of(batch["codes"], batch["gathered"]):
+                # a text begins after the end of another
+                table += np.bincount(np.append(of[-1], of[:-1]) * CLASSES + of, minlength=CLASSES * CLASSES)
+        yield rows(BIGRAMS, pair=np.arange(len(table)), n=table)
+
+    return map_batches(texts.select("codes", "gathered"), work, BIGRAMS).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def learn(df: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of all training words' counts (``word``, ``n``), written to the shared folder."""
+    """The model, and the table of all training words' counts and classes (``word``, ``n``, ``class``), written to the shared folder."""
     spark = df.sparkSession
-    texts = _texts(df)
-    counts = saved(map_batches(texts.where("learns"), _count, COUNTS).groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")), "word-counts")
+    texts = _texts(df).where("learns")
+    counts = saved(map_batches(texts, _count, COUNTS).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     end = number(END)
-    level = F.floor(F.log2("n") * 16).cast("int")
-    levels = sorted((tuple(r) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("types"), F.sum("n").alias("n")).collect()), reverse=True)
-    total, types = sum(n for _, _, n in levels), sum(t for _, t, _ in levels)
-    held, least = 0, None
-    for at, t, _ in levels:  # the highest levels that fit the table
-        if held + t > TABLE:
-            break
-        held, least = held + t, at
-    frequent = sorted((tuple(r) for r in counts.where(level >= least).select("word", "n", "shape").collect()), key=lambda x: (x[0] != end, -x[1], x[0])) if least is not None else []
-    if frequent and frequent[0][0] != end:
-        frequent.insert(0, (end, 0, shape(END)))
-    top = frequent[:HEAD]
-    head = {w: i for i, (w, _, _) in enumerate(top)} or {end: 0}
-    by_word = sorted((w, n) for w, n, _ in frequent if n)
-    model = Model(np.array([w for w, _ in by_word], np.int64), np.array([n for _, n in by_word], np.int64), head, total, types)
+    sums = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == end, F.col("n")))).first()
+    top = [(end, sums[2] or 0), *map(tuple, counts.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(HEAD - 1).collect())]
+    model = Model({w: i for i, (w, _) in enumerate(top)}, total=sums[0] or 0, types=sums[1])
     sent = spark.sparkContext.broadcast(model)
     size = HEAD + SHAPES
 
@@ -206,47 +317,61 @@ def learn(df: DataFrame) -> tuple[Model, DataFrame]:
         for i in range(0, len(at), 100_000):
             yield rows(BIGRAMS, pair=at[i : i + 100_000], n=table[at[i : i + 100_000]])
 
-    pairs = map_batches(texts.where("learns"), successions, BIGRAMS).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = map_batches(texts, successions, BIGRAMS).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     bigrams = np.zeros(size * size)
     bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     of = model.class_of = exchange(bigrams.reshape(size, size))
     member = np.zeros((size, CLASSES))
     member[np.arange(size), of] = 1
-    table = member.T @ bigrams.reshape(size, size) @ member
+    first = member.T @ bigrams.reshape(size, size) @ member
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = Tokens(batch["text"])
+            if (found := _beside(tokens, sent.value.symbols(tokens), of)) is not None:
+                yield found
+
+    met = map_batches(texts, beside, BESIDE).repartition("word").sortWithinPartitions("word")
+    heads = spark.createDataFrame([(w, n, int(of[i])) for i, (w, n) in enumerate(top) if n], CLASSED)
+    classed = saved(map_batches(met, lambda batches: _place(batches, first), CLASSED).unionByName(heads), "word-classes")
+    level = F.floor(F.log2("n") * 16).cast("int")
+    held, least = 0, None
+    for at, t in sorted((tuple(r) for r in classed.groupBy(level.alias("level")).agg(F.count("*").alias("types")).collect()), reverse=True):  # the highest levels that fit the table
+        if held + t > TABLE:
+            break
+        held, least = held + t, at
+    if least is not None:
+        frequent = classed.where(level >= least).toArrow()
+        order = np.argsort(frequent["word"].to_numpy())
+        model.words, model.counts = (frequent[c].to_numpy()[order] for c in ("word", "n"))
+        model.classes = frequent["class"].to_numpy()[order].astype(np.uint8)
+    pairs = _transitions(_coded(texts, model, classed)).toArrow()
+    table = np.zeros(CLASSES * CLASSES)
+    table[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
+    table = table.reshape(CLASSES, CLASSES)
     prior = (table.sum(axis=0) + 1) / (table.sum() + CLASSES)
     model.transition = np.log10((table + TRANSITION_PRIOR * prior) / (table.sum(axis=1, keepdims=True) + TRANSITION_PRIOR))
     mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
-        mass[of[HEAD + r["shape"]]] += r["n"]
-        kinds[of[HEAD + r["shape"]]] += r["types"]
-    for w, n, s in top:
-        if n:
-            mass[of[HEAD + s]] -= n
-            kinds[of[HEAD + s]] -= 1
-        mass[of[head[w]]] += n
-        kinds[of[head[w]]] += 1
+    for r in classed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        mass[r["class"]], kinds[r["class"]] = r["n"], r["types"]
     rare = np.zeros(CLASSES)
     rare[of[HEAD:]] = 1  # a class of shapes also holds words yet unseen
     model.log_class = np.log10(np.maximum(mass + 0.5 * (kinds + rare), 0.5))
-    return model, counts
+    return model, classed
 
 
-def score(df: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """Scores the whole ``text`` of every row; null texts count as empty, that is one end token.
+def _coded(texts: DataFrame, model: Model, classed: DataFrame) -> DataFrame:
+    """Each text with its unigram score, the logarithms of its words' counts, its known words, and its tokens' classes.
 
-    Further columns are ignored, repeated rows are scored alike, and a null
-    ``doc_id`` is carried, counts as not held out and is not learned from.
-    ``base_score`` is the unigram's log10 probability of the text, ``score`` the
-    class model's, ``perplexity`` that of the class model for each token.
+    ``codes`` holds a byte for each token; the classes of rare words are
+    ``gathered`` beside it and their counts added.
     """
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = texts.sparkSession.sparkContext.broadcast(model)
     log_all = float(np.log10(model.total + 0.5 * (model.types + 1)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         row = TaskContext.get().partitionId() << 36
-        start = int(m.class_of[m.head[number(END)]])
         for batch in batches:
             tokens = Tokens(batch["text"])
             size = len(tokens.edges) - 1
@@ -254,35 +379,54 @@ def score(df: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 continue
             at = np.minimum(np.searchsorted(m.words, tokens.numbers), max(0, len(m.words) - 1))
             common = m.words[at] == tokens.numbers if len(m.words) else np.zeros(len(tokens.words), bool)
-            logs = np.where(common, np.log10((m.counts[at] if len(m.words) else 0) + 0.5), 0.0)
-            of = m.class_of[m.symbols(tokens)]
-            now = of[tokens.codes]
-            before = np.concatenate([[start], now[:-1]])
-            before[tokens.edges[:-1]] = start
-            word_log = logs[tokens.codes]
-            begin = tokens.edges[:-1]
-            base = np.add.reduceat(word_log - log_all, begin)
-            ours = np.add.reduceat(word_log + m.transition[before, now] - m.log_class[now], begin)
+            logs = np.where(common, np.log10((m.counts[at] if len(m.words) else 0) + 0.5), 0.0)[tokens.codes]
+            codes = np.where(common, m.classes[at] if len(m.words) else 0, OPEN).astype(np.uint8)[tokens.codes].tobytes()
+            other = m.class_of[m.symbols(tokens)].astype(np.int32)
+            begin, edges = tokens.edges[:-1], tokens.edges.tolist()
             known = np.add.reduceat(common[tokens.codes].astype(np.int64), begin)
             own = row + np.arange(size)
             row += size
-            none, zero = [None] * size, np.zeros(size, np.int64)
-            yield rows(SCORED, row=own, doc_id=batch["doc_id"], held_out=batch["held_out"], n_tokens=np.diff(tokens.edges), n_known=known, base=base, model=ours, word=none, n=zero)
+            none = [None] * size
+            yield rows(CODED, row=own, doc_id=batch["doc_id"], held_out=batch["held_out"], n_tokens=np.diff(tokens.edges), n_known=known, base=np.add.reduceat(logs - log_all, begin), logs=np.add.reduceat(logs, begin), codes=[codes[i:j] for i, j in zip(edges, edges[1:], strict=False)], word=none, other=none, places=none)
             text = np.repeat(np.arange(size), np.diff(tokens.edges))
-            rare = ~common[tokens.codes]
-            pair, n = np.unique(text[rare] * len(tokens.words) + tokens.codes[rare], return_counts=True)
+            rare = np.flatnonzero(~common[tokens.codes])
+            pair = text[rare] * len(tokens.words) + tokens.codes[rare]
+            order = np.argsort(pair, kind="stable")
+            pair, first = np.unique(pair[order], return_index=True)
+            places = (rare - begin[text[rare]])[order].astype("<i4").tobytes()
+            cut = (np.append(first, len(rare)) * 4).tolist()
             for i in range(0, len(pair), 50_000):
-                part = slice(i, i + 50_000)
-                k = len(pair[part])
-                zero, floats = np.zeros(k, np.int64), np.zeros(k)
-                yield rows(SCORED, row=own[pair[part] // len(tokens.words)], doc_id=[None] * k, held_out=[None] * k, n_tokens=zero, n_known=zero, base=floats, model=floats, word=tokens.numbers[pair[part] % len(tokens.words)], n=n[part])
-
-    found = saved(map_batches(_texts(df), work, SCORED), "scored")
-    rare = found.where("word IS NOT NULL").select("row", "word", "n").join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    share = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
-    tail = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(share).alias("logs"))
+                mine = pair[i : i + 50_000]
+                k, name = len(mine), mine % len(tokens.words)
+                none = [None] * k
+                yield rows(CODED, row=own[mine // len(tokens.words)], doc_id=none, held_out=none, n_tokens=none, n_known=none, base=none, logs=none, codes=none, word=tokens.numbers[name], other=other[name], places=[places[a:b] for a, b in zip(cut[i : i + k], cut[i + 1 : i + k + 1], strict=True)])
+
+    found = saved(map_batches(texts, work, CODED), "coded")
+    rare = found.where("word IS NOT NULL").select("row", "word", "other", "places").join(classed.select("word", F.col("n").alias("c"), "class"), "word", "left")
+    n = F.length("places") / 4
+    share = n * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
+    tail = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, n).otherwise(0)).cast("long").alias("more"), F.sum(share).alias("extra"), F.collect_list(F.struct(F.coalesce("class", "other").alias("class"), "places")).alias("gathered"))
+    extra = F.coalesce("extra", F.lit(0.0))
     both = found.where("word IS NULL").join(tail, "row", "left")
-    extra = F.coalesce("logs", F.lit(0.0))
-    known = F.col("n_known") + F.coalesce("more", F.lit(0))
-    model_score = F.col("model") + extra
-    return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), model_score.alias("score"), F.pow(F.lit(10.0), -model_score / F.col("n_tokens")).alias("perplexity"))
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + extra).alias("base"), (F.col("logs") + extra).alias("logs"), "codes", "gathered")
+
+
+def score(df: DataFrame, model: Model, classed: DataFrame) -> DataFrame:
+    """Scores the whole ``text`` of every row; null texts count as empty, that is one end token.
+
+    Further columns are ignored, repeated rows are scored alike, and a null
+    ``doc_id`` is carried, counts as not held out and is not learned from.
+    ``base_score`` is the unigram's log10 probability of the text, ``score`` the
+    class model's, ``perplexity`` that of the class model for each token.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        start = int(m.class_of[m.head[number(END)]])
+        for batch in batches:
+            ours = np.array([(m.transition[np.append(start, of[:-1]), of] - m.log_class[of]).sum() for of in _classes_of(batch["codes"], batch["gathered"])])
+            yield rows(SCORED, **{c: batch[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base")}, model=ours + batch["logs"].to_numpy())
+
+    found = map_batches(_coded(_texts(df), model, classed), work, SCORED)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"), F.pow(F.lit(10.0), -F.col("model") / F.col("n_tokens")).alias("perplexity"))
