@@ -265,6 +265,21 @@ def test_secrets(spark, odd, none):
     assert secretscan.scan(odd, forest, vocabulary).count() == 0 and secretscan.scan(none, forest, vocabulary).count() == 0
 
 
+def test_secrets_of_any_length_and_place(spark):
+    vocabulary = public_path(WORD)
+    forest = secretscan.fit(secretscan.example_findings(), secretscan.dictionary(vocabulary))
+    rng = random.Random(21)
+    pick = lambda n: "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    texts = [('api_key = "{}"', pick(2000) + "=="), ("token: {}\n", f"eyJ{pick(300)}.eyJ{pick(600)}.{pick(43)}"), ("url postgres://app:{}@db.local:5432/x", pick(12)), ("url https://bot:{}@host.org/x", pick(40)), ("amqp://root:{}@mq", "pa@" + pick(9)), ("DB_PASSWORD={}\n", "qTrWxZkv"), ("{{'password': '{}'}}", "kX9!vb#2Lq"), ("https://{}@github.com/a", "ghp_" + pick(36)), ("Authorization: Bearer {}", pick(14)), ("blob {}", pick(5000)), ("https://h/?user=me&password={}&x=1", pick(11))]
+    df = spark.createDataFrame([(i, t.format(s), "src") for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["start"], r["length"]): r["is_secret"] for r in secretscan.scan(df, forest, vocabulary).collect()}
+    want = {(i, t.format(s).index(s), len(s)) for i, (t, s) in enumerate(texts)}
+    assert want <= set(got)
+    assert all(got[k] for k in want if k[0] < 7)
+    assert not any(got.get((i, 0, n)) for i, n in ((0, 7), (1, 5)))
+    assert [f.candidate for _, f in secretscan.candidates("mail a.long.name1234@host.org, at 10:30, key words")] == []
+
+
 def brute_base(docs):
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     tokens = [(name, [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), ""]) for name, t in docs]

@@ -1,6 +1,8 @@
 """Secrets in documents, false positives removed by a random forest.
 
-A pattern proposes candidates; features of the candidate (length, kinds of
+Patterns propose candidates: runs of key characters, what stands before the ``@``
+of an address with ``://``, and values that are assigned to a telling name,
+however long or short.  Features of the candidate (length, kinds of
 characters and their transitions, how much of it dictionary words cover), of the
 words beside it and of the document's path go to a forest of decision trees,
 trained in numpy from labelled findings.
@@ -27,10 +29,16 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches, rows
 
 #: A candidate: a run of at least 16 key characters with a digit in it.
-CANDIDATE = re.compile(r"(?<![\w+/.@-])(?=[A-Za-z_+/.=-]*[0-9])[A-Za-z0-9_+/.-]{16,512}={0,2}(?![\w+/@])")
+CANDIDATE = re.compile(r"(?<![\w+/.@-])(?=[A-Za-z_+/.=-]*[0-9])[A-Za-z0-9_+/.-]{16,}={0,2}(?![\w+/@])")
+#: A password, or a user alone, before the host of an address.
+LOGIN = re.compile(r"://(?:[^\s/:@\"'`<>]*+:)?+([^\s/\"'`<>]+)@")
+#: A name to which something is assigned, and a value: in quotes, or up to white space or a separator.
+NAMED = re.compile(r"(?<![\w-])([\w-]++)[\"'`]?[ \t]*+(?:=>|:=|==?|:)[ \t]*+(?:(?:[Bb]earer|[Bb]asic)[ \t]++)?+")
+VALUE = re.compile(r"\"([^\"\n]++)\"|'([^'\n]++)'|`([^`\n]++)`|([^\s\"'`,;]++)")
 #: Characters looked at on either side for neighbouring words.
 BESIDE = 48
 HINTS = ("key", "secret", "token", "password", "passwd", "pwd", "auth", "bearer", "credential", "private", "access", "apikey")
+HINT = re.compile("|".join(HINTS), re.IGNORECASE)
 DOUBTS = ("example", "sample", "dummy", "test", "hash", "sha", "sha1", "sha256", "md5", "commit", "checksum", "uuid", "digest", "id", "version", "revision", "placeholder", "isbn", "serial")
 PATH_DOUBTS = ("test", "example", "doc", "fixture", "sample", "mock", "vendor")
 TREES, DEPTH, LEAF = 31, 9, 3
@@ -178,10 +186,14 @@ def example_findings(each: int = 60, seed: int = 5) -> list[tuple[Finding, bool]
     assign = lambda: text(3) + " " + name() + one(" = \"", ": \"", "=", " = '", ": ", " = ", "=\"")
     path = lambda: one("src", "src0", "src7", "app/config", "server", "")
     shift = lambda s: s.upper() if rng.random() < 0.2 else s
+    password = lambda: pick(lower + upper + one("", digits, digits + "!$%&*#?+-_"), int(rng.integers(8, 16)))
+    login = lambda: text(2) + one(" postgres", " mysql", " https", " amqp", " redis", " url=mongodb", " \"ftp") + "://" + one(word(), "root", "admin", "") + ":"
     secrets = [
         lambda: shift(pick(hexa, 40)), lambda: shift(pick(hexa, 32)), lambda: pick(hexa, 64), lambda: "AKIA" + pick(upper + digits, 16), lambda: "ghp_" + pick(lower + upper + digits, 36),
         lambda: "sk-" + pick(lower + upper + digits, 48), lambda: "xoxb-" + pick(digits, 11) + "-" + pick(lower + upper + digits, 24), lambda: pick(lower + upper + digits + "+/", int(rng.integers(24, 64))) + one("", "=", "=="),
         lambda: pick(lower + upper + digits, int(rng.integers(20, 40))),
+        lambda: ".".join("eyJ" + pick(lower + upper + digits + "_-", int(rng.integers(60, 800))) for _ in range(2)) + "." + pick(lower + upper + digits + "_-", 43),
+        lambda: pick(lower + upper + digits + "+/", int(rng.integers(500, 2400))) + one("", "=", "=="), password,
     ]
     clean = [
         (lambda: pick(hexa, 40), lambda: text(3) + one(" commit ", " revision ", " sha1 ", " checksum ", " hash: ")),
@@ -198,12 +210,19 @@ def example_findings(each: int = 60, seed: int = 5) -> list[tuple[Finding, bool]
         (lambda: one("x", "X", "0", "1") * int(rng.integers(16, 40)) + "1", assign),
         (lambda: "AKIA" + pick(upper, 8) + "EXAMPLE1", assign),
         (lambda: word() + "." + word() + pick(digits, 2) + ".example.com", lambda: text(3) + one(" ", " mail ")),
+        (lambda: one(word(), word().capitalize(), "true", "null", "none", "None", "string", "required", "undefined"), assign),
+        (lambda: one("${", "{{", "$", "<", "%(") + name() + one("}", "}}", "", ">", ")s"), assign),
+        (lambda: one("os.environ", "config.get", "process.env", "settings.", "self.") + one("", ".", "(") + name(), assign),
+        (lambda: one("git", "www", "anonymous", "user", word()), lambda: text(3) + one(" ssh", " ftp", " https", " git+ssh") + "://"),
+        (lambda: pick(lower + upper + digits + "+/", int(rng.integers(200, 2000))), lambda: text(2) + one(" data:image/png;base64,", " data:font/woff;base64,", " payload ", " ")),
         (lambda: "2024-01-" + pick(digits, 2) + "." + pick(digits, 9), lambda: text(3) + " "),
     ]
     out = []
     for _ in range(each):
         for s in secrets:
             out.append((Finding(s(), assign(), one("\" ", "'", " ", "\n") + text(2), path()), True))
+        for s in (password, secrets[0], secrets[8]):
+            out.append((Finding(s(), login(), "@" + word() + one(".com/", ":5432/", ".example.org ") + text(1), path()), True))
         for s, before in clean:
             out.append((Finding(s(), before(), one(" ", ".", "\n") + text(2), path()), False))
         out.append((Finding(secrets[0](), assign(), "\" " + text(2), one("tests/", "docs/", "examples/", "fixtures/")), False))
@@ -211,9 +230,20 @@ def example_findings(each: int = 60, seed: int = 5) -> list[tuple[Finding, bool]
 
 
 def candidates(text: str, path: str = "") -> Iterator[tuple[int, Finding]]:
-    """Every candidate of ``text`` and where it begins."""
-    for m in CANDIDATE.finditer(text):
-        yield m.start(), Finding(m[0], text[max(0, m.start() - BESIDE) : m.start()], text[m.end() : m.end() + BESIDE], path)
+    """Every candidate of ``text`` and where it begins, in order."""
+    spans = {m.span() for m in CANDIDATE.finditer(text)}
+    spans |= {m.span(1) for m in LOGIN.finditer(text)}
+    done = 0
+    for name in NAMED.finditer(text):
+        # an assignment within a telling one's value is part of that
+        if name.end() < done or not HINT.search(name[1]) or not (value := VALUE.match(text, name.end())):
+            continue
+        start, done = value.span(value.lastindex)
+        spans.add((start, done))
+        if (cut := text.find("&", start, done)) > start:  # the value of a query
+            spans.add((start, cut))
+    for start, end in sorted(spans):
+        yield start, Finding(text[start:end], text[max(0, start - BESIDE) : start], text[end : end + BESIDE], path)
 
 
 def scan(df: DataFrame, forest: Forest, tokenizer: str, least: float = 0.5) -> DataFrame:
