@@ -251,6 +251,26 @@ def test_decontamination_recall(spark, odd, none):
     assert decontam.decontaminate(odd, bench).count() == odd.count() and decontam.contaminated(odd, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kinds", [("insert", "delete", "replace"), ("insert",), ("delete",)])
+def test_decontamination_recall_of_long_items_at_all_edits(kinds):
+    rng = random.Random(17)
+    sizes = [50] * 60 + [100] * 60 + [150] * 30 + [200] * 30
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) for n in sizes]
+    docs = []
+    for text in texts:
+        part = text.split()
+        for _ in range(decontam.allowed_edits(len(part))):
+            kind, at = rng.choice(kinds), rng.randrange(len(part))
+            part[at : at + 1] = {"insert": [f"x{rng.randrange(10**9)}", part[at]], "delete": [], "replace": [f"x{rng.randrange(10**9)}"]}[kind]
+        docs.append(f"{words(len(docs), 200, 5000)} {' '.join(part)} {words(len(docs) + 999, 200, 5000)}")
+    items = decontam.Items(list(range(len(texts))), texts)
+    found = {t for t, i, _, _ in decontam.search(items, *word_numbers(pa.array(docs))) if t == i}
+    for n in set(sizes):
+        own = [i for i, m in enumerate(sizes) if m == n]
+        assert sum(i in found for i in own) >= 0.95 * len(own)
+    assert len(found) >= 0.98 * len(texts)
+
+
 def test_secrets(spark, odd, none):
     vocabulary = public_path(WORD)
     known = secretscan.dictionary(vocabulary)

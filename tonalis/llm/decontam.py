@@ -11,7 +11,7 @@ symbol, writes the symbol that it stands on and steps on or stays by a random
 function of step number and symbol, which turns ``k`` edits into a Hamming
 distance that depends on ``k`` alone.  Tables that each sample a few places of
 the walk keep a window whose samples equal the item's in any table; the number
-of tables is set for the target recall.  What is kept is verified by exact edit
+of walks grows with the item's length for the target recall, see ``WALKS``.  What is kept is verified by exact edit
 distance against the stretch of the document around the window.
 """
 
@@ -32,8 +32,12 @@ GRAM = 3
 EDITS = 0.25
 #: Items that are sent to the executors at once, and their longest text in all.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32 << 20
-#: Random walks, tables for each, places that a table samples.
-WALKS, TABLES, SAMPLED = 4, 8, 2
+#: Tables for each random walk, places that a table samples.
+TABLES, SAMPLED = 8, 2
+#: The share of passages with all the edits that are allowed, mixed ones, insertions or deletions, that is to be found.
+RECALL = 0.99
+#: Items of at most so many words and the walks that reach ``RECALL`` for them, as measured; longer ones have walks in proportion to the last.
+WALKS = ((24, 8), (60, 12), (100, 16), (200, 32))
 FOUND = "doc_id long, item_id long, start_word long, distance int, item_words int"
 _STEP, _SYMBOL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
@@ -56,10 +60,15 @@ def walk(windows: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     return out.T
 
 
+def walks(words: int) -> int:
+    """Random walks for items of that many words."""
+    return next((n for most, n in WALKS if words <= most), math.ceil(WALKS[-1][1] * words / WALKS[-1][0]))
+
+
 def table_places(words: int) -> np.ndarray:
     """Places that each walk's tables sample for items of that many words: walks x tables x sampled; where all walks are well under way or near the start alike."""
     rng = np.random.default_rng(words)
-    return rng.integers(0, 2 * words, (WALKS, TABLES, SAMPLED))
+    return rng.integers(0, 2 * words, (walks(words), TABLES, SAMPLED))
 
 
 def distances(items: np.ndarray, sizes: np.ndarray, regions: np.ndarray, region_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +117,12 @@ class Items:
         self.edits = np.array([allowed_edits(int(s)) for s in self.sizes], np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.keys = _table_keys(self.words, self.sizes)
+        # keys of the items of each size: item x walk x table
+        self.slot, self.keys = np.zeros(len(use), np.int64), {}
+        for size in np.unique(self.sizes).tolist():
+            at = np.flatnonzero(self.sizes == size)
+            self.slot[at] = np.arange(len(at))
+            self.keys[size] = np.stack([_walk_keys(self.words[at, :size], w) for w in range(walks(size))], axis=1)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions of ``grams`` that an item has, with each such item and the place in it."""
@@ -120,19 +134,22 @@ class Items:
         return np.repeat(at, count), self.owner[entry], self.place[entry]
 
 
-def _table_keys(windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Keys of each row in all tables: row x (walks x tables)."""
-    out = np.zeros((len(windows), WALKS * TABLES), np.uint64)
-    for size in np.unique(sizes).tolist():
-        at = np.flatnonzero(sizes == size)
-        places = table_places(size)
-        for w in range(WALKS):
-            embedded = walk(windows[at][:, :size], np.full(len(at), size), w)
-            for t in range(TABLES):
-                key = np.zeros(len(at), np.uint64)
-                for p in places[w, t].tolist():
-                    key = mixed(key + embedded[:, p] * _SYMBOL)
-                out[at, w * TABLES + t] = key
+#: Words that are embedded at once.
+EMBEDDED = 1 << 20
+
+
+def _walk_keys(windows: np.ndarray, w: int) -> np.ndarray:
+    """Keys of each row in the tables of one walk: row x table."""
+    n, size = windows.shape
+    out = np.zeros((n, TABLES), np.uint64)
+    places = table_places(size)[w]
+    step = max(1, EMBEDDED // size)
+    for i in range(0, n, step):
+        part = windows[i : i + step]
+        embedded = walk(part, np.full(len(part), size), w)
+        for t in range(TABLES):
+            for p in places[t].tolist():
+                out[i : i + step, t] = mixed(out[i : i + step, t] + embedded[:, p] * _SYMBOL)
     return out
 
 
@@ -175,13 +192,21 @@ def _cut(numbers: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _collide(items: Items, numbers: np.ndarray, edges: np.ndarray, laid: np.ndarray) -> np.ndarray:
-    """Which windows share a table's key with their item."""
+    """Which windows share a table's key with their item; those that do are spared further walks."""
     text, item, start = laid.T
-    size = items.sizes[item]
-    places = start[:, None] + np.arange(int(size.max()))
-    ok = (places >= edges[text][:, None]) & (places < np.minimum(edges[text + 1], start + size)[:, None])
-    windows = np.where(ok, numbers[np.clip(places, 0, len(numbers) - 1)], np.uint64(0))
-    return (_table_keys(windows, size) == items.keys[item]).any(axis=1)
+    out = np.zeros(len(laid), bool)
+    for size in np.unique(items.sizes[item]).tolist():
+        left = np.flatnonzero(items.sizes[item] == size)
+        places = start[left, None] + np.arange(size)
+        ok = (places >= edges[text[left]][:, None]) & (places < edges[text[left] + 1][:, None])
+        windows = np.where(ok, numbers[np.clip(places, 0, len(numbers) - 1)], np.uint64(0))
+        for w in range(walks(size)):
+            met = (_walk_keys(windows, w) == items.keys[size][items.slot[item[left]], w]).any(axis=1)
+            out[left[met]] = True
+            left, windows = left[~met], windows[~met]
+            if not len(left):
+                break
+    return out
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
