@@ -471,6 +471,20 @@ def test_near_duplicates(spark, odd, none):
     assert minhash.classes(none).collect() == []
 
 
+def test_pairs_that_only_seem_to_share_an_earlier_band_stay(spark):
+    # two members meet in band 1 alone; in band 0 the low bytes of their draws agree, their keys don't
+    drawn = np.zeros((2, minhash.ROUNDS * minhash.BINS), np.uint8)
+    keys = np.arange(2 * minhash.BANDS, dtype=np.int64).reshape(2, -1)
+    keys[1, 1] = keys[0, 1]
+    held = [(int(keys[0, 1]), 1, n, 2, n, 0, bytearray(drawn[n].tobytes()), bytearray(keys[n].tobytes())) for n in (0, 1)]
+    buckets = spark.createDataFrame(held, "band long, no int, node long, size long, comp long, major long, draws binary, keys binary")
+    assert [tuple(r) for r in minhash._near(buckets, 0.8, 2.0, False).collect()] == [(1, 0)]
+    # a pair that met in an earlier band is named there
+    keys[1, 0] = keys[0, 0]
+    held = [(*h[:7], bytearray(keys[n].tobytes())) for n, h in enumerate(held)]
+    assert minhash._near(spark.createDataFrame(held, buckets.schema), 0.8, 2.0, False).collect() == []
+
+
 def test_draws_collide_as_weighted_jaccard():
     rng = np.random.default_rng(8)
     runs = rng.integers(1, 2**63, 400).astype(np.uint64)
