@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or held-out accuracy, and on the hard cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tonalis.llm import brown, chat, decontam, langid, linededup, minhash, packing, secretscan, tokenfile, topk
 from tonalis.llm.common import table
@@ -41,10 +43,7 @@ def none(odd):
 
 
 def ids_of(text, name, end):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(public_path(name))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -57,9 +56,12 @@ def test_word_cache_equals_whole_encoding(name, keeps):
     rng = random.Random(4)
     alphabet = ["a", "b", "'s", " ", "  ", "\n", "\t", "é", "́", "İ", "Σ", "7", ".", "\x1c", "\x85", "\xa0", "<|endoftext|>", "漢", " ", "don't"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 25))) for _ in range(1500)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext", "no control"]
     cache = WordCache(public_path(name), keeps)
     got = cache.encode(texts)
-    assert [g.tolist() for g in got] == [e.ids for e in cache.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    plain = Tokenizer.from_file(public_path(name))
+    assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[-4].tolist() == [49407 if name == WORD else 50256]
 
 
 def packed(df):
@@ -374,8 +376,8 @@ def test_rare_words_have_classes_of_their_own(spark):
         assert x[:5] == y[:5] and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(x[5:], y[5:], strict=True))
 
 
-def brute_top(rows, queries, k):
-    whole = lambda v: [math.floor(1024 * float(np.float32(x))) for x in v]
+def brute_top(rows, queries, k, kind=lambda x: float(np.float32(x))):
+    whole = lambda v: [math.floor(1024 * kind(x)) for x in v]
     ok = [(i, whole(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, v in ok:
@@ -403,6 +405,14 @@ def test_top_k_large_values(spark):
     assert sorted(map(tuple, topk.top_k(df, df, 2).collect())) == brute_top(rows, {0, 1, 2}, 2)
 
 
+def test_top_k_components_are_doubles(spark):
+    rows = [(0, [0.0009765624999999999, 1.0]), (1, [1.0, 1e39]), (2, [1.0, 0.0]), (3, [-2.5, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    small = df.where("vec_id <> 1")
+    assert sorted(map(tuple, topk.top_k(small, small, 3).collect())) == brute_top([r for r in rows if r[0] != 1], {0, 2, 3}, 3, float)
+    assert {r["vec_id"] for r in topk.top_k(df, df.where("vec_id = 2"), 3).collect()} == {0, 3, 1}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)]
@@ -517,10 +527,13 @@ def brute_repair(roles, costs):
                         then[t] = min(then.get(t, 1e9), price + costs.merge)
         state = then
     del best
-    return min((c + (0 if chat.ROLES[s - 1] in costs.ends else costs.insert) for s, c in state.items()), default=0.0)
+    ways = [w for n in range(5) for w in itertools.product((1, 2, 3), repeat=n)]
+    walk = lambda at, w: not w or chat.follows(at, w[0]) and walk(w[0], w[1:])
+    end = lambda s: min((len(w) for w in ways if walk(s, w) and chat.ROLES[(w[-1] if w else s) - 1] in costs.ends), default=math.inf)
+    return min((c + costs.insert * end(s) for s, c in state.items()), default=0.0)
 
 
-@pytest.mark.parametrize("ends", [("user", "assistant"), ("assistant",)])
+@pytest.mark.parametrize("ends", [("user", "assistant"), ("assistant",), ("user",), ("system",), ("system", "assistant")])
 def test_chat_repair_is_cheapest(spark, ends):
     rng = random.Random(6)
     costs = chat.Costs(ends=ends)
@@ -551,16 +564,53 @@ def test_chat_repair_is_cheapest(spark, ends):
         assert seen[-1] in ends and text.count("<|end|>") == len(seen) and text.endswith("<|end|>\n")
 
 
-def test_chat_long_conversation_spans_blocks(spark):
+def rendered_legally(pieces, costs, numbers):
+    """Checks one conversation's pieces in order, and gives their price."""
+    state, price = 0, 0.0
+    for p in pieces:
+        role = chat.ROLES.index(p["role"]) + 1
+        if p["action"] == "merged":
+            assert role == state
+        else:
+            assert chat.follows(state, role) and f"<|{p['role']}|>" in p["piece"]
+        state = role
+        price += costs.insert if p["action"] == "inserted" else costs.merge * (p["action"] == "merged") + costs.relabel * (numbers[p["turn"]] != role)
+    assert p["role"] in costs.ends and p["piece"].endswith("<|end|>\n")
+    return price
+
+
+@pytest.mark.parametrize(("ends", "block"), [(("user", "assistant"), 4096), (("assistant",), 7), (("user",), 1)])
+def test_chat_long_conversation_spans_blocks(spark, monkeypatch, ends, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
     rng = random.Random(9)
     rows = [(1, i, rng.choice(["user", "assistant", "system", None]), f"t{i}") for i in range(900)] + [(2, 0, "assistant", None), (None, None, "user", "n"), (None, 1, "user", "m")]
+    rows += [(3, i, rng.choice(["user", "assistant", "system"]), f"u{i}") for i in range(200)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    costs = chat.Costs()
-    pieces = chat.repair(df.repartition(6), costs)
-    assert pieces.where("conv_id = 1").select(F.shiftright("place", 40).alias("part")).distinct().count() > 1
-    numbers = [chat.role_number(r) for c, _, r, _ in rows if c == 1]
-    price = sum(costs.insert if p["action"] == "inserted" else costs.merge * (p["action"] == "merged") + costs.relabel * (numbers[p["turn"]] != chat.ROLES.index(p["role"]) + 1) for p in pieces.where("conv_id = 1").collect())
-    assert math.isclose(price, brute_repair(numbers, costs))
+    costs = chat.Costs(ends=ends)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pieces = chat.repair(df.repartition(6), costs, partitions=8)
+        found = pieces.orderBy("place").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({p["place"] >> 40 for p in found if p["conv_id"] == 1}) >= 6
+    for conv in (1, 3):
+        numbers = [chat.role_number(r) for c, _, r, _ in rows if c == conv]
+        assert math.isclose(rendered_legally([p for p in found if p["conv_id"] == conv], costs, numbers), brute_repair(numbers, costs))
+        assert [p["turn"] for p in found if p["conv_id"] == conv and p["turn"] is not None] == list(range(len(numbers)))
     whole = {r["conv_id"]: r["rendered"] for r in chat.conversations(pieces).collect()}
-    assert all(f"t{i}" in whole[1] for i in range(900)) and whole[None].count("<|user|>") == 1
-    assert chat.repair(df.where("false")).collect() == []
+    assert all(f"t{i}" in whole[1] for i in range(900)) and "n" in whole[None]
+    assert chat.repair(df.where("false")).collect() == [] and chat.conversations(pieces.where("false")).collect() == []
+
+
+def test_chat_order_of_ties(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, None, "a"), (1, 0, "a", None), (1, 0, "user", "a"), (1, 0, "user", "x" * 80 + "2"), (1, 0, "user", "x" * 80 + "1"), (1, 0, "user", "b")]
+    once = None
+    for n in (1, 3, 5):
+        got = [p["piece"] for p in chat.repair(spark.createDataFrame(random.Random(n).sample(rows, len(rows)), "conv_id long, turn long, role string, text string").repartition(n)).orderBy("place").collect()]
+        assert once in (None, got)
+        once = got
+    text = "".join(once)
+    assert text.index("a") < text.index("b") < text.index("x" * 80)
+    with pytest.raises(ValueError):
+        chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.Costs(ends=()))

@@ -4,12 +4,16 @@ Both vocabularies used here split a text at white space before any merge is
 applied, so the ids of a text are the ids of its white-space chunks joined
 together.  Natural text repeats its words, so each Python worker remembers the
 ids of the chunks that it has met (up to ``MAX_WORDS``) and hands only new ones
-to the tokenizers library.  The result is identical to encoding the text whole,
-which ``tests/llm/test_operators.py`` checks on random texts.
+to the tokenizers library.  The result is identical to the library's plain
+``encode(text, add_special_tokens=False)``, which ``tests/llm/test_operators.py``
+checks on random texts.  That call reads the vocabulary's control words in a
+text, such as ``<|endoftext|>``, as their one id; texts that hold one are encoded
+whole.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Sequence
 
@@ -49,8 +53,8 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
+        self.control = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self._forget()
 
     def _forget(self) -> None:
@@ -84,16 +88,12 @@ class WordCache:
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if len(self.slots) > MAX_WORDS:
             self._forget()
-        whole: dict[int, str] = {}
-        if self.keeps_space:
-            odd = pc.match_substring_regex(column, _JOINED_SPACE)
-            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-                whole[i] = column[i].as_py()
-            if whole:
-                column = pc.if_else(odd, "", column)
-            chunks = pc.split_pattern(column, " ")
-        else:
-            chunks = pc.ascii_split_whitespace(column)
+        pattern = "|".join(p for p in (_JOINED_SPACE if self.keeps_space else "", self.control) if p)
+        odd = pc.match_substring_regex(column, pattern) if pattern else pa.array([False] * len(column))
+        whole = {i: column[i].as_py() for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        if whole:
+            column = pc.if_else(odd, "", column)
+        chunks = pc.split_pattern(column, " ") if self.keeps_space else pc.ascii_split_whitespace(column)
         sizes = chunks.value_lengths().to_numpy().astype(np.int64)
         coded = chunks.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False)

@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import map_batches, rows, saved
 
@@ -155,21 +156,28 @@ def _hits(block, k: int):  # noqa: ANN001, ANN202
     return work
 
 
+def _components(df: DataFrame) -> Column:
+    """Floats as they are, which doubles hold exactly; any other numbers as doubles."""
+    kind = df.schema["embedding"].dataType
+    return F.col("embedding") if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else F.col("embedding").cast("array<double>")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` best rows of ``vectors`` for each row of ``queries`` (both ``vec_id``, ``embedding``).
 
     The score is the inner product of the vectors' components, each turned into
-    ``floor(1024 * x)``.  Ties go to the smaller ``vec_id``; a row never answers
+    ``floor(1024 * x)``, ``x`` as a double.  Ties go to the smaller ``vec_id``; a row never answers
     a query of its own ``vec_id``.  Vectors that are null, hold a null or
     non-finite component, or lack an id take no part; vectors of another length
-    than the query's don't answer it.  Queries of one id are one query, that of
+    than the query's don't answer it.  Queries are scored in blocks of at most
+    ``BLOCK_BYTES``, three passes over ``vectors`` for each block.  Queries of one id are one query, that of
     the smallest vector; repeated candidate rows answer as often as they occur.
     Fewer than ``k`` rows: all are returned.
     """
     spark = vectors.sparkSession
-    data = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    data = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _components(vectors).alias("embedding"))
     whole = (
-        queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+        queries.select(F.col("vec_id").cast("long").alias("query_id"), _components(queries).alias("embedding"))
         .where("query_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
         .groupBy("query_id").agg(F.min("embedding").alias("embedding"))
     )
