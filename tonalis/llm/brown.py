@@ -38,8 +38,8 @@ TABLE = 1 << 18
 TRANSITION_PRIOR = 10.0
 PARTS, PART = 5, 1
 END = b""
-#: Words that are placed at once.
-PLACED = 512
+#: Words that are placed at once, and neighbourhoods that a task remembers.
+PLACED, JUDGED = 512, 1 << 17
 #: The code of a token whose class is still to be joined.
 OPEN = 255
 COUNTS = "word long, n long"
@@ -63,24 +63,30 @@ def shape(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word[-3:]) % SHAPES
 
 
+def _words(column: pa.Array) -> list[bytes]:
+    """The bytes of each string, cut from the array's own buffer."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32, len(column) + 1, column.offset).tolist() if len(column) else [0]
+    whole = data.to_pybytes() if data else b""
+    return [whole[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
 class Tokens:
     """The tokens of a batch of texts: distinct words, the word of each token, and where each text begins and ends."""
 
     def __init__(self, texts: pa.Array) -> None:
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         coded = split.flatten().dictionary_encode()
-        words = [w.encode() for w in coded.dictionary.to_pylist()]
-        used = [w != END for w in words]
+        words = _words(coded.dictionary)
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         sizes = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        if not all(used):  # white space at the ends of a text leaves empty words
-            real = np.array(used)[codes]
+        if END in words:  # white space at the ends of a text leaves empty words
+            real = codes != words.index(END)
             edges = np.concatenate([[0], np.cumsum(sizes)])
             sizes = np.diff(np.concatenate([[0], np.cumsum(real)])[edges])
             codes = codes[real]
         self.words = [*words, END]
-        self.numbers = np.array([number(w) for w in self.words], np.int64)
-        self.shapes = np.array([shape(w) for w in self.words], np.int64)
+        self.numbers = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words)).view(np.int64) ^ np.int64(-(1 << 63))
         self.edges = np.concatenate([[0], np.cumsum(sizes + 1)])
         self.codes = np.full(int(self.edges[-1]), len(words), np.int64)
         at = np.ones(len(self.codes), bool)
@@ -90,7 +96,7 @@ class Tokens:
 
 @dataclass
 class Model:
-    """What scoring needs; ``words`` are sorted, ``counts`` and ``classes`` are theirs, ``head`` maps the numbers of head words to symbols."""
+    """What scoring needs; ``words`` are sorted, ``counts`` and ``classes`` are theirs, ``head`` maps the numbers of head words to symbols, in order of the numbers."""
 
     head: dict[int, int]
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -104,10 +110,11 @@ class Model:
 
     def symbols(self, tokens: Tokens) -> np.ndarray:
         """The symbol of each distinct word."""
-        out = HEAD + tokens.shapes
-        for i, w in enumerate(tokens.numbers.tolist()):
-            if (s := self.head.get(w)) is not None:
-                out[i] = s
+        names, symbols = (np.fromiter(x, np.int64, len(self.head)) for x in (self.head, self.head.values()))
+        at = np.minimum(np.searchsorted(names, tokens.numbers), len(names) - 1)
+        out = symbols[at]
+        for i in np.flatnonzero(names[at] != tokens.numbers).tolist():
+            out[i] = HEAD + shape(tokens.words[i])
         return out
 
 
@@ -172,6 +179,75 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return of
 
 
+#: Counts up to which a step's gain is looked up.
+SMALL = 16
+
+
+class Gains:
+    """What counts from 1 to ``SMALL`` add to ``x log x`` of every cell of ``cells``; number ``n`` is at ``n``."""
+
+    def __init__(self, cells: np.ndarray) -> None:
+        n = np.arange(SMALL + 1).reshape(-1, *[1] * cells.ndim)
+        self.of = _f(cells + n) - _f(cells)
+
+
+class Placing:
+    """``placed`` for one table of successions."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.table, self.sides = table, (table.T, table)
+        self.cells = [Gains(x).of for x in self.sides]
+        self.totals = [(x, Gains(x).of) for x in (table.sum(axis=1), table.sum(axis=0))]
+        self.enough = _least_gain(table.sum())
+
+    def _beside(self, old: np.ndarray, beside: np.ndarray, across: np.ndarray, own: np.ndarray, side: int) -> np.ndarray:
+        """The gain from the cells of successions of each class and the word, the word itself taken out of its old class."""
+        successions, known = self.sides[side], self.cells[side]
+        gain = np.zeros(beside.shape)
+        word, cls = np.nonzero(beside)
+        n = beside[word, cls]
+        quick = (n <= SMALL) & (cls != old[word])
+        for k in np.unique(n[quick]).astype(np.int64).tolist():
+            gain += (beside == k) @ known[k]
+        # looked up as well, but not to be: the own class' row, and every row's cell of the old class
+        wrong = np.flatnonzero((n <= SMALL) & ~quick)
+        np.subtract.at(gain, word[wrong], known[n[wrong].astype(np.int64), cls[wrong]])
+        at = np.flatnonzero(quick)
+        w, m = word[at], n[at]
+        cell = successions[cls[at], old[w]]
+        gain[np.arange(len(old)), old] += np.bincount(w, 2 * _f(cell) - _f(cell - m) - _f(cell + m), len(old))
+        at = np.flatnonzero(~quick)
+        if len(at):
+            w, c, m = word[at], cls[at], n[at]
+            cells = successions[c]
+            cells[np.arange(len(w)), old[w]] -= m
+            same = np.flatnonzero(c == old[w])
+            cells[same] -= across[w[same]]
+            cells[same, old[w[same]]] -= own[w[same]]
+            some, first = np.unique(w, return_index=True)
+            gain[some] += np.add.reduceat(_f(cells + m[:, None]) - _f(cells), first, axis=0)
+        return gain
+
+    def placed(self, old: np.ndarray, into: np.ndarray, out: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """See ``placed``."""
+        row = np.arange(len(old))
+        gain = self._beside(old, out, into, own, 0) + self._beside(old, into, out, own, 1)
+        # a class beside itself: the cells above count what comes before and after apart
+        w, c = np.nonzero(((out > 0) & (into > 0)) | (own > 0)[:, None])
+        d = self.table[c, c] - np.where(c == old[w], out[w, c] + into[w, c] + own[w], 0)
+        x, y = out[w, c], into[w, c]
+        gain[w, c] += _f(d + x + y + own[w]) - _f(d + x) - _f(d + y) + _f(d)
+        for (total, known), n in zip(self.totals, (out.sum(axis=1) + own, into.sum(axis=1) + own), strict=True):
+            few = n <= SMALL
+            gain[few] -= known[n[few].astype(np.int64)]
+            many = np.flatnonzero(~few)
+            gain[many] -= _f(total + n[many, None]) - _f(total)
+            rest = total[old] - n
+            gain[row, old] -= _f(rest + n) - _f(rest) - _f(total[old] + n) + _f(total[old])
+        new = gain.argmax(axis=1)
+        return np.where(gain[row, new] > gain[row, old] + self.enough, new, old)
+
+
 def placed(table: np.ndarray, old: np.ndarray, into: np.ndarray, out: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The best class of each word (row), each moved alone, by the gain that ``exchange`` has.
 
@@ -179,28 +255,7 @@ def placed(table: np.ndarray, old: np.ndarray, into: np.ndarray, out: np.ndarray
     ``into`` and ``out`` count the classes before and after each word (word x
     class, some in each row), ``own`` its successions to itself.
     """
-    row = np.arange(len(old))
-    left, right = out.sum(axis=1) + own, into.sum(axis=1) + own
-    gain = np.zeros(out.shape)
-    for beside, across, successions in ((out, into, table.T), (into, out, table)):
-        word, cls = np.nonzero(beside)
-        n = beside[word, cls]
-        # successions of every class and this one, the word itself taken out of its old class
-        cells = successions[cls]
-        cells[np.arange(len(word)), old[word]] -= n
-        same = np.flatnonzero(cls == old[word])
-        cells[same] -= across[word[same]]
-        cells[same, old[word[same]]] -= own[word[same]]
-        gain += np.add.reduceat(_f(cells + n[:, None]) - _f(cells), np.searchsorted(word, row), axis=0)
-    d = np.tile(table.diagonal(), (len(old), 1))
-    d[row, old] -= out[row, old] + into[row, old] + own
-    gain += _f(d + out + into + own[:, None]) - _f(d + out) - _f(d + into) + _f(d)
-    for total, n in ((table.sum(axis=1), left), (table.sum(axis=0), right)):
-        rest = np.tile(total, (len(old), 1))
-        rest[row, old] -= n
-        gain -= _f(rest + n[:, None]) - _f(rest)
-    new = gain.argmax(axis=1)
-    return np.where(gain[row, new] > gain[row, old] + _least_gain(table.sum()), new, old)
+    return Placing(table).placed(old, into, out, own)
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -240,8 +295,23 @@ def _beside(tokens: Tokens, symbols: np.ndarray, of: np.ndarray) -> pa.RecordBat
 
 
 def _place(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The class and count of each word from its ``BESIDE`` rows, which come together."""
+    """The class and count of each word from its ``BESIDE`` rows, which come together.
+
+    Words of one old class that stand beside the same classes equally often, as
+    most of those seen once do, are judged once.
+    """
     held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+    judged: dict[bytes, tuple[int, int]] = {}
+    slots, placing = 2 * CLASSES + 1, Placing(table)
+
+    def judge(beside: list[bytes]) -> None:
+        old = np.array([x[0] for x in beside], np.int64)
+        data = np.frombuffer(b"".join(x[1:] for x in beside), _SEEN)
+        owner = np.repeat(np.arange(len(beside)), [len(x) // _SEEN.itemsize for x in beside])
+        n = np.bincount(owner * slots + data["slot"], data["n"], len(beside) * slots).reshape(-1, slots)
+        into, out, own = n[:, :CLASSES], n[:, CLASSES:-1], n[:, -1]
+        new = placing.placed(old, into, out, own)
+        judged.update(zip(beside, zip(new.tolist(), (into.sum(axis=1) + own).astype(np.int64).tolist(), strict=True), strict=True))
 
     def done(last: bool) -> Iterator[pa.RecordBatch]:
         word, old = (np.concatenate([h[k] for h in held]) for k in (0, 1))
@@ -249,17 +319,16 @@ def _place(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.
         end = len(word) if last or not len(word) else int(np.flatnonzero(word != word[-1])[-1] + 1) if (word != word[-1]).any() else 0
         held[:] = [] if last else [(word[end:], old[end:], seen[end:])]
         starts = np.flatnonzero(np.append(True, word[1:end] != word[: end - 1])) if end else np.zeros(0, np.int64)
-        for i in range(0, len(starts), PLACED):
-            part = starts[i : i + PLACED]
-            stop = int(starts[i + PLACED]) if i + PLACED < len(starts) else end
-            mine = seen[int(part[0]) : stop]
-            data = np.frombuffer(b"".join(mine), _SEEN)
-            owner = np.repeat(np.searchsorted(part, np.arange(int(part[0]), stop), "right") - 1, [len(x) // _SEEN.itemsize for x in mine])
-            slots = 2 * CLASSES + 1
-            n = np.bincount(owner * slots + data["slot"], data["n"], len(part) * slots).reshape(-1, slots)
-            into, out, own = n[:, :CLASSES], n[:, CLASSES:-1], n[:, -1]
-            new = placed(table, old[part].astype(np.int64), into, out, own)
-            yield rows(CLASSED, word=word[part], n=(into.sum(axis=1) + own).astype(np.int64), **{"class": new.astype(np.int32)})
+        if len(judged) > JUDGED:
+            judged.clear()
+        cut = [*starts.tolist(), end]
+        beside = [bytes([o]) + (seen[i] if j == i + 1 else b"".join(sorted(seen[i:j]))) for o, i, j in zip(old[starts].tolist(), cut, cut[1:], strict=False)]
+        fresh = [x for x in dict.fromkeys(beside) if x not in judged]
+        for i in range(0, len(fresh), PLACED):
+            judge(fresh[i : i + PLACED])
+        if beside:
+            cls, n = zip(*map(judged.__getitem__, beside), strict=True)
+            yield rows(CLASSED, word=word[starts], n=n, **{"class": cls})
 
     for batch in batches:
         held.append((batch["word"].to_numpy(), batch["old"].to_numpy(), batch["seen"].to_pylist()))
@@ -294,14 +363,33 @@ def _transitions(texts: DataFrame) -> DataFrame:
 
 
 def learn(df: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of all training words' counts and classes (``word``, ``n``, ``class``), written to the shared folder."""
+    """The model, and the table of all training words' counts and classes (``word``, ``n``, ``class``), written to the shared folder.
+
+    Learned from the rows (``doc_id``, ``text``) that aren't held out; those
+    without a ``doc_id`` teach nothing, null and empty texts only the end token,
+    and repeated rows count as often as they occur.  An empty table gives a model
+    without words, by which all texts score alike but for their length.
+    """
+    model, classed, _ = _learn(df)
+    return model, classed
+
+
+def learn_and_score(df: DataFrame) -> DataFrame:
+    """``score`` of ``df`` by the model that ``learn`` makes of it; its texts are coded once for both."""
+    model, _, coded = _learn(df)
+    return _scored(coded, model)
+
+
+def _learn(df: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """Model and classes as ``learn`` gives them, and the coded texts of the whole table."""
     spark = df.sparkSession
-    texts = _texts(df).where("learns")
+    every = _texts(df)
+    texts = every.where("learns")
     counts = saved(map_batches(texts, _count, COUNTS).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     end = number(END)
     sums = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == end, F.col("n")))).first()
     top = [(end, sums[2] or 0), *map(tuple, counts.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(HEAD - 1).collect())]
-    model = Model({w: i for i, (w, _) in enumerate(top)}, total=sums[0] or 0, types=sums[1])
+    model = Model(dict(sorted((w, i) for i, (w, _) in enumerate(top))), total=sums[0] or 0, types=sums[1])
     sent = spark.sparkContext.broadcast(model)
     size = HEAD + SHAPES
 
@@ -345,7 +433,8 @@ def learn(df: DataFrame) -> tuple[Model, DataFrame]:
         order = np.argsort(frequent["word"].to_numpy())
         model.words, model.counts = (frequent[c].to_numpy()[order] for c in ("word", "n"))
         model.classes = frequent["class"].to_numpy()[order].astype(np.uint8)
-    pairs = _transitions(_coded(texts, model, classed)).toArrow()
+    coded = _coded(every, model, classed)
+    pairs = _transitions(coded.where("doc_id IS NOT NULL AND NOT held_out")).toArrow()
     table = np.zeros(CLASSES * CLASSES)
     table[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     table = table.reshape(CLASSES, CLASSES)
@@ -357,7 +446,7 @@ def learn(df: DataFrame) -> tuple[Model, DataFrame]:
     rare = np.zeros(CLASSES)
     rare[of[HEAD:]] = 1  # a class of shapes also holds words yet unseen
     model.log_class = np.log10(np.maximum(mass + 0.5 * (kinds + rare), 0.5))
-    return model, classed
+    return model, classed, coded
 
 
 def _coded(texts: DataFrame, model: Model, classed: DataFrame) -> DataFrame:
@@ -417,9 +506,14 @@ def score(df: DataFrame, model: Model, classed: DataFrame) -> DataFrame:
     Further columns are ignored, repeated rows are scored alike, and a null
     ``doc_id`` is carried, counts as not held out and is not learned from.
     ``base_score`` is the unigram's log10 probability of the text, ``score`` the
-    class model's, ``perplexity`` that of the class model for each token.
+    class model's, ``perplexity`` that of the class model for each token.  An
+    empty table gives no rows.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    return _scored(_coded(_texts(df), model, classed), model)
+
+
+def _scored(coded: DataFrame, model: Model) -> DataFrame:
+    sent = coded.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -428,5 +522,5 @@ def score(df: DataFrame, model: Model, classed: DataFrame) -> DataFrame:
             ours = np.array([(m.transition[np.append(start, of[:-1]), of] - m.log_class[of]).sum() for of in _classes_of(batch["codes"], batch["gathered"])])
             yield rows(SCORED, **{c: batch[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base")}, model=ours + batch["logs"].to_numpy())
 
-    found = map_batches(_coded(_texts(df), model, classed), work, SCORED)
+    found = map_batches(coded, work, SCORED)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"), F.pow(F.lit(10.0), -F.col("model") / F.col("n_tokens")).alias("perplexity"))

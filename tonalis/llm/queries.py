@@ -79,8 +79,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability under a class-based bigram model of the documents that aren't held out."""
-    documents = table(spark, sf_dir, "documents")
-    return brown.score(documents, *brown.learn(documents))
+    return brown.learn_and_score(table(spark, sf_dir, "documents"))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
