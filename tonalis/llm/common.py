@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
 
@@ -43,30 +44,81 @@ def rows(schema: str, **columns: object) -> pa.RecordBatch:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a temporary folder of this machine is used.
+    Only where that is unset and there is one machine, as in local tests, a
+    temporary folder of it is used; on a cluster that is an error.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tonalis-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
 
 
+def _located(spark: SparkSession, folder: str) -> tuple:
+    """The store of a folder and its path there, as Spark itself reaches it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below the shared one."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder name below the shared one; what is written there goes with the session, if not before."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    store, path = _located(spark, folder)
+    store.deleteOnExit(path)
+    return folder
+
+
+#: Where the tables that ``saved`` wrote lie.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here and survives lost executors."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what ``saved`` wrote for ``tables``, which nothing reads any more."""
+    for t in tables:
+        if folder := _folders.pop(t, None):
+            store, path = _located(t.sparkSession, folder)
+            store.delete(path, True)
+
+
+#: A key counts as hot if it holds more than this share of the rows, so there are no more than ``1 / HOT`` such keys.
+HOT = 1 / 4096
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``left`` joined with the columns of ``right`` but ``size``, for the keys that both have.
+
+    ``right`` has one row for each ``key`` and in ``size`` how many of the
+    ``total`` rows of ``left`` have it.  Hot keys are sent to all executors, at
+    most ``1 / HOT`` rows; the others meet in a shuffle, so no task gets a hot
+    key's rows.
+    """
+    hot = right.where(F.col(size) > total * HOT).drop(size)
+    rest = right.where(F.col(size) <= total * HOT).drop(size)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return cold.unionByName(left.join(F.broadcast(hot), key))
+
+
+def unused_name(stem: str, columns: Iterable[str]) -> str:
+    """A column name that isn't among ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while stem in taken:
+        stem += "_"
+    return stem
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
