@@ -1,12 +1,16 @@
 """Dropping lines that many documents share.
 
-Two Bloom filters of fixed size hold the keys of lines seen once and seen
-twice.  Every task fills its own pair; the pairs are merged by slices of the
-bit range, a bit of two tasks' "once" filters moving to "twice".  Only lines
-whose bits are all in the merged "twice" filter -- true repeats and a few false
-alarms -- are shuffled, by an exact 128-bit key, to count their documents and to
-choose the one that keeps them.  The filter's size bounds what is broadcast; a
-corpus that outgrows it shuffles more suspects but loses no repeat.
+Two Bloom filters hold the keys of lines seen once and seen twice.  Every task
+fills its own pair; the pairs are merged by slices of the bit range, a bit of two
+tasks' "once" filters moving to "twice".  Only lines whose bits are all in the
+merged "twice" filter -- true repeats and a few false alarms -- are shuffled, by an
+exact 128-bit key, to count their documents and to choose the one that keeps them.
+
+The filters have ``BITS_A_LINE`` bits for each line that the corpus can hold, by
+its characters, up to ``2 ** MOST_BITS`` (64 MB, which bounds what is broadcast and
+what a task holds).  A corpus that outgrows them shuffles more suspects, at worst
+24 bytes for each of its lines, but loses no repeat.  Keys that very many documents
+hold are sent to all executors, so none of them meets in one task.
 """
 
 from __future__ import annotations
@@ -21,12 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import map_batches, rows
+from .common import join_unique, map_batches, release, rows, saved, unused_name
 
-#: Bits of each Bloom filter (8 MB), and slices that are merged apart.
-FILTER_BITS = 1 << 26
+#: Bits for each line, the logarithms of the least and the largest filter, and slices that are merged apart.
+BITS_A_LINE, LEAST_BITS, MOST_BITS = 8, 20, 29
 SLICES = 64
-SLICE_BITS = FILTER_BITS // SLICES
 SPACE = b" \t\n\x0b\x0c\r"
 PARTS = "slice int, part int, once binary, twice binary"
 
@@ -41,13 +44,22 @@ def line_keys(text: str | None, least: int) -> list[bytes | None]:
     return keys
 
 
-def bit_places(keys: np.ndarray) -> np.ndarray:
-    """Two places in the filters for each key (rows of two ``uint64``)."""
-    return (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def filter_bits(lines: int) -> int:
+    """Logarithm of the bits of each filter for at most so many lines."""
+    return min(MOST_BITS, max(LEAST_BITS, (BITS_A_LINE * max(1, lines) - 1).bit_length()))
 
 
-def _as_places(keys: list[bytes]) -> np.ndarray:
-    return bit_places(np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2))
+def bit_places(keys: list[bytes], bits: int) -> np.ndarray:
+    """Two places in a filter of ``2 ** bits`` for each key, by its two halves."""
+    return (np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _has(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bitmap[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _set(bitmap: np.ndarray, places: np.ndarray) -> None:
+    np.bitwise_or.at(bitmap, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
 
 
 def _pack(places: np.ndarray) -> bytes:
@@ -58,63 +70,68 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64))
 
 
-def _local_filters(least: int):  # noqa: ANN202
+def _local_filters(least: int, bits: int):  # noqa: ANN202
+    size = (1 << bits) // 8 // SLICES
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(FILTER_BITS, bool), np.zeros(FILTER_BITS, bool)
+        once, twice = np.zeros(size * SLICES, np.uint8), np.zeros(size * SLICES, np.uint8)
         for batch in batches:
             keys = [k for text in batch["text"].to_pylist() for k in {*line_keys(text, least)} if k]
             if not keys:
                 continue
-            # exact repeats within the batch, then those of earlier batches
-            halves = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-            _, first, counts = np.unique(halves[:, 0], return_index=True, return_counts=True)
-            places = bit_places(halves[first])
-            again = (counts > 1) | once[places].all(axis=1)
-            twice[places[again]] = True
-            once[places] = True
+            # repeats within the batch, then those of earlier batches
+            places = bit_places(keys, bits)
+            _, first, counts = np.unique(places[:, 0] << 32 | places[:, 1], return_index=True, return_counts=True)
+            places = places[first]
+            _set(twice, places[(counts > 1) | _has(once, places).all(axis=1)].ravel())
+            _set(once, places.ravel())
         part = TaskContext.get().partitionId()
         for i in range(SLICES):
-            a, b = (np.flatnonzero(x[i * SLICE_BITS : (i + 1) * SLICE_BITS]) for x in (once, twice))
+            a, b = (np.flatnonzero(np.unpackbits(x[i * size : (i + 1) * size], bitorder="little")) for x in (once, twice))
             if len(a):
                 yield rows(PARTS, slice=[i], part=[part], once=[_pack(a)], twice=[_pack(b)])
 
     return work
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(bits: int):  # noqa: ANN202
     """Merges rows of equal (slice, part), which follow each other."""
-    now, once, twice = None, np.zeros(SLICE_BITS, bool), np.zeros(SLICE_BITS, bool)
-
-    def done() -> pa.RecordBatch:
-        out = rows(PARTS, slice=[now[0]], part=[now[1]], once=[_pack(np.flatnonzero(once))], twice=[_pack(np.flatnonzero(twice))])
-        once[:] = False
-        twice[:] = False
-        return out
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = (row["slice"], row["part"])
-            if now and key != now:
-                yield done()
-            now = key
-            bits = _unpack(row["once"])
-            twice[bits[once[bits]]] = True
-            twice[_unpack(row["twice"])] = True
-            once[bits] = True
-    if now:
-        yield done()
-
-
-def twice_seen(texts: DataFrame, least: int) -> np.ndarray:
-    """The packed bits of the "twice" filter over all rows of ``text``; ``FILTER_BITS / 8`` bytes at any size of the input."""
-    parts = map_batches(texts.select("text"), _local_filters(least), PARTS)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, once, twice = None, np.zeros((1 << bits) // SLICES, bool), np.zeros((1 << bits) // SLICES, bool)
+
+        def done() -> pa.RecordBatch:
+            out = rows(PARTS, slice=[now[0]], part=[now[1]], once=[_pack(np.flatnonzero(once))], twice=[_pack(np.flatnonzero(twice))])
+            once[:] = False
+            twice[:] = False
+            return out
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = (row["slice"], row["part"])
+                if now and key != now:
+                    yield done()
+                now = key
+                places = _unpack(row["once"])
+                twice[places[once[places]]] = True
+                twice[_unpack(row["twice"])] = True
+                once[places] = True
+        if now:
+            yield done()
+
+    return work
+
+
+def twice_seen(texts: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The bits of the "twice" filter over all rows of ``text``, eight a byte, the lowest first."""
+    parts = map_batches(texts.select("text"), _local_filters(least, bits), PARTS)
     for group in (F.col("part") % 32, F.lit(0)):
         parts = parts.withColumn("part", group.cast("int")).repartition("slice", "part").sortWithinPartitions("slice", "part")
-        parts = map_batches(parts, _merge, PARTS)
-    out = np.zeros(FILTER_BITS, bool)
+        parts = map_batches(parts, _merge(bits), PARTS)
+    out, size = np.zeros((1 << bits) // 8, np.uint8), (1 << bits) // SLICES
     for row in parts.select("slice", "twice").toLocalIterator():
-        out[row["slice"] * SLICE_BITS + _unpack(bytes(row["twice"]))] = True
-    return np.packbits(out)
+        _set(out, row["slice"] * size + _unpack(bytes(row["twice"])))
+    return out
 
 
 def dedup_lines(df: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
@@ -125,14 +142,15 @@ def dedup_lines(df: DataFrame, least: int = 40, documents: int = 5) -> DataFrame
     joined by line feeds, and the columns ``n_lines`` (before) and ``n_dropped``
     are added or replaced; all other columns stay.  A null or empty text is one
     empty line, and a null text stays null.  Rows of one ``doc_id`` are one
-    document; rows with a null ``doc_id`` lose nothing and count for nothing.
+    document; rows with a null ``doc_id`` lose nothing and count for nothing.  An
+    empty table stays empty.
     """
     spark = df.sparkSession
     named = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    bits = spark.sparkContext.broadcast(twice_seen(named, least))
+    filters = filter_bits((named.agg(F.sum(F.length("text"))).first()[0] or 0) // max(1, least))
+    sent = spark.sparkContext.broadcast(twice_seen(named, least, filters))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = bits.value
         for batch in batches:
             names, keys = [], []
             for name, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -140,21 +158,22 @@ def dedup_lines(df: DataFrame, least: int = 40, documents: int = 5) -> DataFrame
                 names += [name] * len(own)
                 keys += own
             if keys:
-                at = _as_places(keys)
-                hit = (seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1)
+                hit = _has(sent.value, bit_places(keys, filters)).all(axis=1)
                 yield rows("doc_id long, key binary", doc_id=np.array(names, np.int64)[hit], key=[k for k, h in zip(keys, hit.tolist(), strict=True) if h])
 
-    found = map_batches(named, suspects, "doc_id long, key binary")
-    repeated = found.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= documents).select("key", "keeper")
-    drops = found.join(repeated, "key").where("doc_id < keeper").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__keys"))
+    found = saved(map_batches(named, suspects, "doc_id long, key binary").distinct(), "suspect-lines")
+    repeated = saved(found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= documents), "repeated-lines")
+    doc, keys = (unused_name(x, df.columns) for x in ("doc", "keys"))
+    drops = saved(join_unique(found, repeated, "key", "n", found.count()).where("doc_id < keeper").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("key").alias(keys)), "dropped-lines")
+    release(found, repeated)
     kept = df.drop("n_lines", "n_dropped")
-    joined = kept.join(drops, kept["doc_id"].cast("long") == drops["__doc"], "left").drop("__doc")
+    joined = kept.join(drops, kept["doc_id"].cast("long") == drops[doc], "left").drop(doc)
     schema = StructType([*kept.schema.fields]).add("n_lines", LongType()).add("n_dropped", LongType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, lost = [], [], []
-            for text, drop in zip(batch["text"].to_pylist(), batch["__keys"].to_pylist(), strict=True):
+            for text, drop in zip(batch["text"].to_pylist(), batch[keys].to_pylist(), strict=True):
                 if drop:
                     gone = set(drop)
                     lines = text.split("\n")
@@ -167,7 +186,7 @@ def dedup_lines(df: DataFrame, least: int = 40, documents: int = 5) -> DataFrame
                     totals.append((text or "").count("\n") + 1)
                     lost.append(0)
             i = batch.schema.get_field_index("text")
-            columns = [pa.array(texts, pa.string()) if k == i else c for k, c in enumerate(batch.columns) if batch.schema.field(k).name != "__keys"]
+            columns = [pa.array(texts, pa.string()) if k == i else c for k, c in enumerate(batch.columns) if batch.schema.field(k).name != keys]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(lost, pa.int64())], names=schema.names)
 
     return map_batches(joined, work, schema)
