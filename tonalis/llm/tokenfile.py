@@ -8,6 +8,11 @@ A file holds the ids of consecutive documents, each followed by an end id::
     block starts               u64 byte offset of each block
     n_docs n_blocks n_ids footer_at:u64  b"RFPT"
 
+A line feed stands after the head, after each run of blocks that is written at
+once, and after the footer, so that Spark's own writer can put the runs into the
+file, whatever the store, and commits or drops a task's file as a whole.  Block
+starts count those bytes, too.
+
 A block is ``minimum:u32 width:u8 n_exceptions:u16`` (7 bytes), the differences
 to the minimum packed at ``width`` bits, then the exceptions' places (u8) and
 their bits above ``width`` (u32).  The width is that of the difference at a
@@ -20,16 +25,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
-from typing import BinaryIO
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_batches, rows, shared_folder
+from .common import map_batches, rows, saved, shared_folder
 from .tokens import word_cache
 
 BLOCK = 256
@@ -121,18 +123,24 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
 
 
 class Writer:
-    """Writes one file; documents are added in order, memory stays at one chunk."""
+    """Makes one file, piece by piece; documents are added in order, memory stays at one chunk.
+
+    ``put`` takes each piece and has to write a line feed after it.
+    """
 
-    def __init__(self, sink: BinaryIO) -> None:
-        self.sink = sink
-        self.at = HEAD.size
-        sink.write(HEAD.pack(b"TPFR", 1))
+    def __init__(self, put: Callable[[bytes], object]) -> None:
+        self.put, self.at = put, 0
+        self._piece(HEAD.pack(b"TPFR", 2))
         self.held: list[np.ndarray] = []
         self.n_held = self.n_ids = 0
         self.starts: list[int] = []
         self.names: list[int | None] = []
         self.sizes: list[int] = []
 
+    def _piece(self, data: bytes) -> None:
+        self.put(data)
+        self.at += len(data) + 1
+
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         """One document's ids, end id included."""
         self.names.append(doc_id)
@@ -147,20 +155,18 @@ class Writer:
         ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
         for begin in range(0, n, CHUNK):
             blocks = encode_blocks(ids[begin : min(n, begin + CHUNK)])
+            at = self.at
             for b in blocks:
-                self.starts.append(self.at)
-                self.at += len(b)
-            self.sink.write(b"".join(blocks))
+                self.starts.append(at)
+                at += len(b)
+            self._piece(b"".join(blocks))
         self.held, self.n_held = ([ids[n:]], len(ids) - n) if n < len(ids) else ([], 0)
 
     def close(self) -> None:
         """Writes what is held, the documents and the index."""
         self._flush(self.n_held)
-        self.sink.write(np.array([x is None for x in self.names], np.uint8).tobytes())
-        self.sink.write(np.array([x or 0 for x in self.names], "<i8").tobytes())
-        self.sink.write(np.array(self.sizes, "<u4").tobytes())
-        self.sink.write(np.array(self.starts, "<u8").tobytes())
-        self.sink.write(TAIL.pack(len(self.names), len(self.starts), self.n_ids, self.at, b"RFPT"))
+        index = (np.array([x is None for x in self.names], np.uint8), np.array([x or 0 for x in self.names], "<i8"), np.array(self.sizes, "<u4"), np.array(self.starts, "<u8"))
+        self._piece(b"".join(x.tobytes() for x in index) + TAIL.pack(len(self.names), len(self.starts), self.n_ids, self.at, b"RFPT"))
 
 
 class Reader:
@@ -168,8 +174,7 @@ class Reader:
 
     def __init__(self, source: pa.NativeFile) -> None:
         self.source = source
-        size = source.size()
-        source.seek(size - TAIL.size)
+        source.seek(source.size() - TAIL.size - 1)
         n_docs, n_blocks, self.n_ids, self.footer_at, magic = TAIL.unpack(source.read(TAIL.size))
         if magic != b"RFPT":
             raise ValueError("not a token file")
@@ -210,34 +215,29 @@ class Reader:
             yield name, parts
 
 
-def write_token_files(df: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> list[tuple[str, int, int]]:
-    """Encodes the ``text`` of every row and writes files in ascending ``doc_id`` order.
+def write_token_files(df: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> None:
+    """Encodes the ``text`` of every row and writes files to a new ``folder`` in ascending ``doc_id`` order.
 
-    Returns path, documents and ids of each file, in order; that list has an
-    entry for each file, not for each document.  Null texts count as empty;
+    The files' numbers in their names are their order.  Null texts count as empty;
     rows with a null ``doc_id`` come first; repeated ids follow each other in an
-    order given by their texts.  A file is written under a name of its attempt
-    and then moved, so a repeated task leaves one whole file.
+    order given by their texts; repeated rows are written as often as they occur;
+    other columns are ignored; an empty table gives no document.  Files go through
+    Spark's own writer, so a repeated task leaves one whole file.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer, keeps_space=True)
-        context = TaskContext.get()
-        system, base = fs.FileSystem.from_uri(folder)
-        writer = None
-        shard = context.partitionId()
-        draft, final = f"{base}/.draft-{context.taskAttemptId()}", f"{base}/ids-{shard:06d}.tpfr"
+        writer, made = None, []
         for batch in batches:
             for name, ids in zip(batch["doc_id"].to_pylist(), cache.encode(batch["text"]), strict=True):
-                if writer is None:
-                    system.create_dir(base, recursive=True)
-                    writer = Writer(sink := system.open_output_stream(draft))
+                writer = writer or Writer(made.append)
                 writer.add(name, np.append(ids, np.uint32(end_id)))
+                while made:
+                    yield rows("piece binary", piece=[made.pop(0)])
         if writer:
             writer.close()
-            sink.close()
-            system.move(draft, final)
-            yield rows(FILES, shard=[shard], docs=[len(writer.names)], ids=[writer.n_ids])
+            for piece in made:
+                yield rows("piece binary", piece=[piece])
 
     ordered = (
         df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -246,41 +246,46 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, end_id: int =
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
     )
-    found = sorted(map(tuple, map_batches(ordered, work, FILES).collect()))
-    return [(f"{folder}/ids-{shard:06d}.tpfr", docs, ids) for shard, docs, ids in found]
-
+    map_batches(ordered, work, "piece binary").select(F.col("piece").cast("string")).write.option("compression", "none").option("lineSep", "\n").text(folder)
 
-FILES = "shard int, docs long, ids long"
 
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Reads such files: for each document its place among all ids, its size and the CRC-32 of its ids.
 
-def read_token_files(df: DataFrame, files: list[tuple[str, int, int]]) -> DataFrame:
-    """Reads such files: for each document its place among all ids, its size and the CRC-32 of its ids."""
+    A file is one row of Spark's reader, so files are bounded by the partitions
+    that were written.
+    """
+    schema = f"file string, {DOCS}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start in zip(batch["path"].to_pylist(), batch["start"].to_pylist(), strict=True):
-                system, name = fs.FileSystem.from_uri(path)
-                with system.open_input_file(name) as source:
-                    reader = Reader(source)
-                    sums = []
-                    for _, parts in reader.documents():
-                        crc = 0
-                        for p in parts:
-                            crc = zlib.crc32(np.ascontiguousarray(p, "<u4"), crc)
-                        sums.append(crc)
-                    ends = start + np.cumsum(reader.sizes)
-                    for at in range(0, len(sums), 10_000):
-                        part = slice(at, at + 10_000)
-                        yield rows(DOCS, doc_id=reader.names[part], start=(ends - reader.sizes)[part], n_tokens=reader.sizes[part], ids_crc32=sums[part])
-
-    spark, start, todo = df.sparkSession, 0, []
-    for path, _, ids in files:
-        todo.append((path, start))
-        start += ids
-    paths = spark.sparkContext.parallelize(todo, max(1, len(todo)))
-    return map_batches(spark.createDataFrame(paths, "path string, start long"), work, DOCS)
+            for file, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                reader = Reader(pa.BufferReader(content.as_buffer()))
+                sums = []
+                for _, parts in reader.documents():
+                    crc = 0
+                    for p in parts:
+                        crc = zlib.crc32(np.ascontiguousarray(p, "<u4"), crc)
+                    sums.append(crc)
+                starts = np.cumsum(reader.sizes) - reader.sizes
+                for at in range(0, len(sums), 10_000):
+                    part = slice(at, at + 10_000)
+                    yield rows(schema, file=[file] * len(sums[part]), doc_id=reader.names[part], start=starts[part], n_tokens=reader.sizes[part], ids_crc32=sums[part])
+
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).where("length > 0")
+    found = saved(map_batches(stored.select("path", "content"), work, schema), "token-file-documents")
+    # a number for each file, not for each document
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+    total, before = 0, []
+    for r in found.groupBy("file").agg(F.sum("n_tokens").alias("ids")).withColumn("number", number).orderBy("number").collect():
+        before.append((r["file"], total))
+        total += r["ids"]
+    files = spark.createDataFrame(before, "file string, before long")
+    return found.join(F.broadcast(files), "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file_round_trip(df: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Writes the token files of ``df`` to the shared folder and reports them as read back."""
-    return read_token_files(df, write_token_files(df, tokenizer, shared_folder(df.sparkSession, "token-files"), end_id))
+    """Writes the token files of ``df`` to the shared folder and reports them as read back; see ``write_token_files``."""
+    folder = shared_folder(df.sparkSession, "token-files")
+    write_token_files(df, tokenizer, folder, end_id)
+    return read_token_files(df.sparkSession, folder)
