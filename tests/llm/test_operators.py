@@ -3,8 +3,10 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tonalis.llm import brown, chat, decontam, langid, linededup, minhash, packing, secretscan, tokenfile, topk
-from tonalis.llm.common import table
+from tonalis.llm.common import checkpoint_dir, join_unique, release, saved, table
 from tonalis.llm.graph import components
 from tonalis.llm.tokens import WordCache, public_path
 from tonalis.llm.words import word_numbers
@@ -133,7 +135,7 @@ def test_token_blocks_round_trip():
 def test_token_file_random_access(tmp_path):
     docs = [(i, np.arange(i * 37, dtype=np.uint32) % 977) for i in range(60)] + [(None, np.array([5], np.uint32))]
     with open(tmp_path / "x", "wb") as sink:
-        w = tokenfile.Writer(sink)
+        w = tokenfile.Writer(lambda piece: sink.write(piece + b"\n"))
         for d in docs:
             w.add(*d)
         w.close()
@@ -180,6 +182,22 @@ def test_line_dedup(spark, odd, none):
     done = linededup.dedup_lines(odd)
     assert done.count() == odd.count() and sorted(done.columns) == sorted([*odd.columns, "n_dropped"])
     assert linededup.dedup_lines(none).collect() == []
+    named = spark.createDataFrame(docs, "doc_id long, text string").withColumn("doc", F.lit(1)).withColumn("Keys", F.lit("k")).withColumn("key", F.lit(2))
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in linededup.dedup_lines(named).where("doc = 1 AND Keys = 'k' AND key = 2").collect()), key=str)
+    assert got == brute_lines(docs)
+
+
+def test_line_filters_of_any_size_give_one_result(spark, monkeypatch):
+    rng = random.Random(31)
+    shared = [f"{words(i, 9, 10**6)} shared line" for i in range(30)]
+    docs = [(i, "\n".join([words(10**4 + i * 50 + k, 9, 10**6) for k in range(40)] + rng.sample(shared, 6))) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    for most in (9, 12, 29):  # full of bits, nearly full, roomy
+        monkeypatch.setattr(linededup, "LEAST_BITS", 9)
+        monkeypatch.setattr(linededup, "MOST_BITS", most)
+        got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(df).collect()), key=str)
+        assert got == brute_lines(docs) and sum(r[2] for r in got) > 100
+    assert [linededup.filter_bits(n) for n in (0, 1, 2**9, 10**12)] == [9, 9, 12, 29]
 
 
 def test_gradients_are_those_of_the_loss():
@@ -266,7 +284,7 @@ def test_decontamination_recall_of_long_items_at_all_edits(kinds):
             part[at : at + 1] = {"insert": [f"x{rng.randrange(10**9)}", part[at]], "delete": [], "replace": [f"x{rng.randrange(10**9)}"]}[kind]
         docs.append(f"{words(len(docs), 200, 5000)} {' '.join(part)} {words(len(docs) + 999, 200, 5000)}")
     items = decontam.Items(list(range(len(texts))), texts)
-    found = {t for t, i, _, _ in decontam.search(items, *word_numbers(pa.array(docs))) if t == i}
+    found = {t for t, i, *_ in decontam.search(items, *word_numbers(pa.array(docs))) if t == i}
     for n in set(sizes):
         own = [i for i, m in enumerate(sizes) if m == n]
         assert sum(i in found for i in own) >= 0.95 * len(own)
@@ -486,13 +504,41 @@ def test_pairs_that_only_seem_to_share_an_earlier_band_stay(spark):
     drawn = np.zeros((2, minhash.ROUNDS * minhash.BINS), np.uint8)
     keys = np.arange(2 * minhash.BANDS, dtype=np.int64).reshape(2, -1)
     keys[1, 1] = keys[0, 1]
-    held = [(int(keys[0, 1]), 1, n, 2, n, 0, bytearray(drawn[n].tobytes()), bytearray(keys[n].tobytes())) for n in (0, 1)]
-    buckets = spark.createDataFrame(held, "band long, no int, node long, size long, comp long, major long, draws binary, keys binary")
-    assert [tuple(r) for r in minhash._near(buckets, 0.8, 2.0, False).collect()] == [(1, 0)]
+    schema = "band long, no int, node long, size long, comp long, major long, draws binary, bands array<long>"
+    bucket = lambda: spark.createDataFrame([(int(keys[0, 1]), 1, n, 2, n, 0, bytearray(drawn[n].tobytes()), keys[n].tolist()) for n in (0, 1)], schema)
+    assert [tuple(r) for r in minhash._near(bucket(), 0.8, 2.0, False).collect()] == [(1, 0)]
     # a pair that met in an earlier band is named there
     keys[1, 0] = keys[0, 0]
-    held = [(*h[:7], bytearray(keys[n].tobytes())) for n, h in enumerate(held)]
-    assert minhash._near(spark.createDataFrame(held, buckets.schema), 0.8, 2.0, False).collect() == []
+    assert minhash._near(bucket(), 0.8, 2.0, False).collect() == []
+
+
+def test_blocks_of_a_bucket_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    drawn = rng.integers(0, 2, (60, 16)).astype(np.uint8)
+    comp = [0 if n < 40 else n for n in range(60)]
+    rows = [(5, 0, n, 60, comp[n], 0, bytearray(drawn[n].tobytes()), [5]) for n in range(60)]
+    df = spark.createDataFrame(rows, "band long, no int, node long, size long, comp long, major long, draws binary, bands array<long>").repartition(4)
+    got = sorted(map(tuple, minhash._near(df, 0.7, 2.0, False).collect()))
+    assert got == sorted((a, b) for a in range(60) for b in range(a) if comp[a] != comp[b] and (drawn[a] == drawn[b]).mean() >= 0.7) and got
+
+
+def test_hot_keys_join_like_others(spark):
+    left = spark.range(9000).select(F.when(F.col("id") < 5000, 1).otherwise(F.col("id") % 3000).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    got = join_unique(left, right, "k", "n", 9000)
+    assert sorted(map(tuple, got.select("k", "id", "m").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "id", "m").collect()))
+
+
+def test_shared_folders(spark, tmp_path):
+    df = saved(spark.range(5), "probe")
+    folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert df.count() == 5 and os.path.isdir(folder)
+    release(df, df)
+    assert not os.path.exists(folder)
+    cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[3,2,3000]"))
+    with pytest.raises(ValueError):
+        checkpoint_dir(cluster)
 
 
 def test_draws_collide_as_weighted_jaccard():

@@ -7,7 +7,9 @@ language, and a document's probabilities are the mean over all its positions.
 A unit has one update gate: ``h += f * (c - h)`` with ``f = sigmoid(...)`` and
 ``c = tanh(...)`` of the byte and the last state.  Weights are learned on the
 driver, in numpy, by backpropagation through time, from a bounded sample:
-``SAMPLE_DOCS`` documents a language and ``SAMPLE_CHARS`` characters of each.
+``SAMPLE_DOCS`` documents a language, of at most ``MOST_LANGS`` languages, and
+``SAMPLE_CHARS`` characters of each.  As many other documents of each language set
+the probability from which on a text counts as recognised.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ BATCH = 1024
 #: The bound of the training sample.
 SAMPLE_DOCS = 160
 SAMPLE_CHARS = 1024
+MOST_LANGS = 512
+#: What the bound of acceptance lies under the least probability among the documents that set it.
+MARGIN = 0.05
 STEPS = 500
 UNKNOWN = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, n_positions long"
@@ -46,6 +51,8 @@ class Network:
     recur: np.ndarray  # 2 x HIDDEN x 2 HIDDEN
     out: np.ndarray  # 2 HIDDEN x langs
     bias: np.ndarray  # langs
+    #: Probability of its language from which on a text is recognised.
+    least: float = 0.0
 
     def states(self, windows: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States of both directions at every position of ``windows`` (bytes, time x batch): time x batch x 2 HIDDEN."""
@@ -169,27 +176,49 @@ def held_out(doc_id: Column | str, parts: int = 4, part: int = 2) -> Column:
 
 
 def learn(df: DataFrame) -> Network | None:
-    """A network for the non-null ``lang`` values of the documents that aren't held out; None if there are none."""
+    """A network for the non-null ``lang`` values of the documents (``doc_id``, ``text``, ``lang``) that aren't held out.
+
+    None where there is nothing to learn from: an empty table, or no row with an
+    id, a language and a text that isn't empty.  Repeated rows count as often as
+    they occur, other columns are ignored.  More than ``MOST_LANGS`` languages are
+    an error.  ``least`` of the network is ``MARGIN`` under the least probability
+    of its best language that a document of a second sample has, none of which is
+    in the first; with fewer documents the first sample sets it.
+    """
     known = df.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id"))
-    found = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    found = {r["lang"]: r["n"] for r in counts}
     if not found:
         return None
     langs = sorted(found)
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, 2.0 * SAMPLE_DOCS / n))) for name, n in sorted(found.items())])
+    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, 3.0 * SAMPLE_DOCS / n))) for name, n in sorted(found.items())])
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1
     chosen = known.select("lang", draw.alias("draw"), "doc_id", F.substr("text", at.cast("int"), F.lit(SAMPLE_CHARS)).alias("part")).where(F.col("draw") < share).collect()
-    windows, labels = [], []
+    windows, labels, judged = [], [], []
     for k, name in enumerate(langs):
-        own = sorted((r["draw"], r["doc_id"], r["part"]) for r in chosen if r["lang"] == name)[:SAMPLE_DOCS]
-        data = [p for _, _, p in own]
+        own = [p for _, _, p in sorted((r["draw"], r["doc_id"], r["part"]) for r in chosen if r["lang"] == name)]
+        data = own[:SAMPLE_DOCS]
+        judged += own[SAMPLE_DOCS : 2 * SAMPLE_DOCS] or data
         if data:
             w, _, sizes = windowed(data)
             full = np.ones(len(w), bool)
             full[np.cumsum(-(-sizes // WINDOW))[(sizes % WINDOW > 0) & (sizes > WINDOW)] - 1] = False
             windows.append(w[full])
             labels.append(np.full(int(full.sum()), k))
-    return train(langs, np.concatenate(windows), np.concatenate(labels))
+    if not windows:
+        return None
+    network = train(langs, np.concatenate(windows), np.concatenate(labels))
+    judged = [t for t in judged if has_letter(t)]
+    network.least = max(0.0, float(pooled(network, judged).max(axis=1).min()) - MARGIN) if judged else 0.0
+    return network
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter of any alphabet."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def identify(df: DataFrame, network: Network | None) -> DataFrame:
@@ -206,7 +235,7 @@ def identify(df: DataFrame, network: Network | None) -> DataFrame:
         net = sent.value
         for batch in batches:
             texts = batch["text"].to_pylist()
-            at = [i for i, t in enumerate(texts) if net and t and any(map(str.isalpha, t))]
+            at = [i for i, t in enumerate(texts) if net and has_letter(t)]
             langs, scores, sizes = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
             if at:
                 p = pooled(net, [texts[i] for i in at])
@@ -218,11 +247,13 @@ def identify(df: DataFrame, network: Network | None) -> DataFrame:
     return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out("doc_id").alias("held_out")), work, PREDICTED)
 
 
-def accepted(df: DataFrame, network: Network | None, least: float = 0.35) -> DataFrame:
-    """The rows of ``df``, all columns, whose text has a language with a pooled probability of at least ``least``.
+def accepted(df: DataFrame, network: Network | None, least: float | None = None) -> DataFrame:
+    """The rows of ``df``, all columns, whose text has a language with a pooled probability of at least ``least`` (unset: the network's own bound).
 
-    Texts that are null or have no letter go; so do those of which no language
-    holds that much.
+    Texts that are null, empty or without a letter go.  Without a network every
+    text that has a letter stays, as nothing tells them apart.  Repeated rows stay
+    or go alike, rows without ``doc_id`` are judged like others, and an empty table
+    stays empty.
     """
     sent = df.sparkSession.sparkContext.broadcast(network)
 
@@ -230,9 +261,9 @@ def accepted(df: DataFrame, network: Network | None, least: float = 0.35) -> Dat
         net = sent.value
         for batch in batches:
             texts = batch["text"].to_pylist()
-            at = [i for i, t in enumerate(texts) if net and t and any(map(str.isalpha, t))]
-            if at:
-                keep = np.array(at)[pooled(net, [texts[i] for i in at]).max(axis=1) >= least]
-                yield batch.take(pa.array(keep))
+            at = np.array([i for i, t in enumerate(texts) if has_letter(t)], np.int64)
+            if len(at) and net:
+                at = at[pooled(net, [texts[i] for i in at.tolist()]).max(axis=1) >= (net.least if least is None else least)]
+            yield batch.take(pa.array(at))
 
     return map_batches(df, work, df.schema)
