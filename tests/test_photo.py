@@ -3,23 +3,28 @@
 import math
 import os
 import sqlite3
+import struct
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 import __spark_entry__
 from tonalis import registry
 from tonalis.functions import color, scalars
-from tonalis.operators import match, planners, store, studies
-from tonalis.plans import fixtures
-from tonalis.sources import images
+from tonalis.operators import match, measure, planes, planner, planners, records, sharp_zone, store, studies
+from tonalis.plans import fixtures, record_queries
+from tonalis.session import written
+from tonalis.sources import catalog, images
 from tonalis.sources.sqlite import SqliteSource
 from tonalis.streaming import bridge
+from tonalis.streaming.queue import Ledger
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["tone_dual", "neutral_dual", "exposure_linear", "gray_world", "shutter_parse", "knn_target", "plan_wb_seeds", "plan_calibration", "freshness_misses", "cache_upsert", "seed_upsert", "style_hashes", "largest_preview", "constant_keys", "mode_profile", "wb_regime", "cross_catalog", "seed_curve", "job_queue", "job_expiry", "heartbeat_gaps", "queue_saturation", "batch_chunks", "collection_tree", "keyword_overlay", "preset_overlay", "path_union", "develop_parse"]
+FAST = ["tone_dual", "neutral_dual", "exposure_linear", "gray_world", "shutter_parse", "knn_target", "plan_wb_seeds", "plan_calibration", "freshness_misses", "cache_upsert", "seed_upsert", "style_hashes", "largest_preview", "constant_keys", "mode_profile", "wb_regime", "cross_catalog", "seed_curve", "job_queue_short", "job_status", "job_results", "queue_saturation", "job_routes", "late_thumbnails", "batch_report", "batch_chunks", "picture_table", "raw_light", "camera_deltas", "sharp_zone_light", "coherence", "report_lines", "rendered_previews", "smart_previews", "catalog_settings", "capture_profiles", "develop_types", "style_flags", "path_match", "collection_tree", "keyword_overlay", "preset_overlay", "path_union", "develop_parse"]
 
 
 @pytest.fixture(scope="module")
@@ -124,18 +129,156 @@ def test_jpeg_stream_and_previews(spark):
 
 def test_demosaic_of_a_flat_plane():
     y, x = np.mgrid[0:6, 0:6]
-    assert np.allclose(images.demosaic(np.full((6, 6), 0.4), (y % 2) + (x % 2)), 0.4, atol=1e-6)
+    assert np.allclose(planes.demosaic(np.full((6, 6), 0.4), (y % 2) + (x % 2)), 0.4, atol=1e-6)
+
+
+def test_a_second_green_without_a_balance_has_the_first_ones():
+    site = np.array([[0, 1], [3, 2]])
+    got = planes.balanced(np.full((2, 2), 1064.0), site, np.array([2.0, 1.0, 1.5, 0.0]), np.full(4, 64.0), 2064.0)
+    assert got.tolist() == [[1.0, 0.5], [0.5, 0.75]]
+    assert np.allclose(planes.camera_matrix(np.array(fixtures.CAMERA_XYZ)) @ np.ones(3), 1.0)
+
+
+def test_pictures_that_cannot_be_read_stay_as_nulls(spark, tmp_path):
+    def png(path, w, h, channels):
+        kind = {1: 0, 3: 2, 4: 6}[channels]
+        rows = b"".join(b"\0" + bytes((10 * c + 3 * x + y) % 256 for x in range(w) for c in range(channels)) for y in range(h))
+        chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+        path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+
+    for n in (1, 3, 4):
+        png(tmp_path / f"c{n}.png", 4, 3, n)
+    (tmp_path / "bad.png").write_bytes(b"no picture")
+    found = {os.path.basename(r["path"]): r for r in images.pictures(spark, str(tmp_path)).collect()}
+    assert set(found) == {"c1.png", "c3.png", "c4.png", "bad.png"} and found["bad.png"]["data"] is None
+    for n in (1, 3, 4):
+        rgb = np.frombuffer(found[f"c{n}.png"]["data"], np.uint8).reshape(3, 4, 3)
+        assert rgb[2, 3].tolist() == [(10 * (c if n > 1 else 0) + 9 + 2) % 256 for c in range(3)]
+    paths = spark.createDataFrame([(r["path"],) for r in found.values()] + [("gone",)], "path string")
+    measured = planes.measured(images.wanted_pictures(spark, paths, str(tmp_path)).withColumn("photo_id", F.xxhash64("path"))).collect()
+    assert sum(r["whole"] is not None for r in measured) == 3 and len(measured) == 5
+    one = images.pictures(spark, str(tmp_path)).withColumn("photo_id", F.lit(1))
+    best = images.first_readable(("thumbnail", one.where("path LIKE '%bad%'").drop("path")), ("preview", one.where("path LIKE '%c3%'").drop("path"))).first()
+    assert best["channel"] == "preview" and best["data"] is not None
+    none = images.first_readable(("thumbnail", one.where("path LIKE '%bad%'").drop("path")))
+    assert none.first()["channel"] == "none" and "none 1" in images.channel_report(none)
+
+
+def test_planes_measure_what_pixels_in_rows_do(spark, sf_dir):
+    some = lambda df: df.where("photo_id < 40")
+    rows = measure.analysed(some(fixtures.pixels(spark, sf_dir)))
+    seen = planes.scopes(planes.measured(some(fixtures.pictures(spark, sf_dir))))
+    for ours, theirs, keys in ((seen.select("photo_id", "scope", "r.tone.*"), measure.tone(rows), ["photo_id", "scope"]), (seen.select("photo_id", "scope", "r.neutral.*"), measure.neutral(rows), ["photo_id", "scope"]), (planes.banded(seen), measure.bands(rows), ["photo_id", "scope", "band"])):
+        a, b = ({tuple(r[k] for k in keys): r for r in df.collect()} for df in (ours, theirs))
+        assert a.keys() == b.keys()
+        assert all(math.isclose(a[k][c], b[k][c], abs_tol=1e-6) if isinstance(a[k][c], float) else a[k][c] == b[k][c] for k in a for c in ours.columns)
+
+
+def test_sharp_clusters_equal_numpy():
+    rng = np.random.default_rng(5)
+    rgb = rng.integers(0, 256, (24, 20, 3)).astype(np.uint8)
+    small = rgb.reshape(12, 2, 10, 2, 3).astype(float).mean(axis=(1, 3))
+    assert np.abs(sharp_zone.halved(rgb) - small).max() <= 0.5
+    plane = rng.random((9, 7))
+    k = np.exp(-0.5 * (np.arange(-4, 5)) ** 2.0)
+    k /= k.sum()
+    wide = np.pad(plane, 4, "reflect")
+    brute = np.array([[sum(k[i] * k[j] * wide[y + i, x + j] for i in range(9) for j in range(9)) for x in range(7)] for y in range(9)])
+    assert np.allclose(sharp_zone.blurred(plane, 1.0), brute)
+    points = np.concatenate([rng.normal(c, 0.01, (30, 3)) for c in ((0.1, 0.1, 0.1), (0.9, 0.2, 0.1), (0.3, 0.6, 0.9))]).clip(0.001, 1)
+    found = sharp_zone.clustered(points, 3)
+    assert math.isclose(found["n_luma"], points[:30].mean(axis=0) @ sharp_zone.REC709, rel_tol=1e-9) and found["n_pct"] == 1 / 3
+    assert found["n_chroma"] == np.ptp(points[:30].mean(axis=0)) and found["b_luma"] > found["n_luma"]
+    assert sharp_zone.clustered(np.zeros((9, 3)), 3) is None and sharp_zone.zone_light(np.zeros((4, 4, 3), np.uint8), 1.0, 0.85, 99) is None
+
+
+def test_queue_rules():
+    q = Ledger(stale=900, most=2)
+    second = 1_000_000
+    assert q.submit(1, 0) == (True, []) and q.submit(2, second) == (True, []) and q.submit(3, 2 * second) == (False, [])
+    assert q.poll(2 * second) == 1 and q.status(1) == "in_progress" and q.pending() == 1 and q.connected(7 * second) and not q.connected(8 * second)
+    # nothing evicts but a submission, so a stale job is still handed out
+    assert q.poll(2000 * second) == 2 and q.poll(2000 * second) is None
+    assert q.result(1, "ok") == "done" and q.result(9, "ok") is None and q.result(2, "error") == "failed"
+    assert q.take(1) == "done" and q.take(1) is None
+    assert q.submit(4, 2001 * second) == (True, [2]) and q.status(2) is None
+    # a job that ended while it waited keeps its place until a poll passes it
+    assert q.result(4, "ok") == "done" and q.pending() == 1 and q.poll(2002 * second) is None and q.pending() == 0
+    again = Ledger()
+    again.load(q.dump())
+    assert again.jobs == q.jobs and again.waiting == q.waiting and again.last_poll == q.last_poll
+    assert Ledger().seconds_since_poll(5) is None and not Ledger().connected(5)
 
 
 def test_stream_gives_the_batch_answer(spark, sf_dir, tmp_path):
-    events = fixtures.events(spark, sf_dir).where("worker < 20").select("job_id", "worker", "kind", "ts")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = fixtures.queue_events(spark, sf_dir).where("worker < 12")
     path = str(tmp_path / "events")
     events.coalesce(1).write.parquet(path)
-    q = bridge.polled_stream(spark.readStream.schema(events.schema).parquet(path)).writeStream.format("memory").queryName("polled").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = bridge.queue_stream(spark.readStream.schema(events.schema).parquet(path), 172_800.0, 3).writeStream.format("memory").queryName("replayed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    batch = bridge.polled(events).where("polled_at IS NOT NULL").select("worker", "job_id", "polled_at")
-    assert sorted(map(tuple, spark.table("polled").select("worker", "job_id", "polled_at").collect())) == sorted(map(tuple, batch.collect()))
+    columns = ["worker", "seq", "kind", "job_id", "outcome", "waiting"]
+    got, want = (sorted(map(repr, (tuple(r) for r in df.select(columns).collect()))) for df in (spark.table("replayed"), bridge.replay(spark.read.parquet(path), 172_800.0, 3)))
+    assert got == want
+
+
+def test_stored_tables(spark, tmp_path):
+    none = records.opened(spark, str(tmp_path), "previews")
+    assert none.count() == 0
+    rows = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 1.0), (None, "x", 1.0)], "uuid long, hash_preview string, cached_at double")
+    table = records.put(none, rows, "previews")
+    table.write.parquet(records.location(str(tmp_path), "previews"))
+    stored = records.opened(spark, str(tmp_path), "previews")
+    assert sorted((r["uuid"], r["hash_preview"]) for r in stored.collect()) == [(1, "b"), (2, "a")]
+    again = records.put(stored, rows.where("uuid = 2").withColumn("hash_preview", F.lit("c")), "previews")
+    assert sorted((r["uuid"], r["hash_preview"]) for r in again.collect()) == [(1, "b"), (2, "c")]
+    wanted = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a")], "uuid long, signature string")
+    assert {r["uuid"]: r["found"] is not None for r in records.fresh("previews", again, wanted).collect()} == {1: True, 2: False, 3: False}
+    assert records.misses("previews", again, wanted, force=True).count() == 3 and records.misses("previews", again, wanted).count() == 2
+
+
+def test_anchors(spark):
+    tone = lambda v: {"tone": dict.fromkeys(match.TONE, 0.0) | {"median_l": v}, "neutral": None, "bands": None}
+    kind = records.empty(spark, "previews").schema["sharp"].dataType
+    develop = "develop map<string,string>"
+    photos = spark.createDataFrame([(1, "s", {"Exposure2012": "1.0"}), (2, "s", {"Exposure2012": "1.0"}), (3, "s", {"Exposure2012": "0.1"}), (4, "s", {})], f"photo_id long, hash_style string, {develop}")
+    render = lambda *r: spark.createDataFrame([(i, tone(v)) for i, v in r], StructType([StructField("photo_id", LongType()), StructField("sharp", kind)]))
+    previews_ = records.typed(render((1, 50.0), (2, 50.0), (3, 50.0)).withColumnRenamed("photo_id", "uuid"), "previews")
+    kept = records.typed(render((4, 40.0)).withColumnRenamed("photo_id", "uuid").withColumn("hash_style", F.lit("s")), "neutral_previews")
+    probed = render((1, 50.5), (2, 60.0), (3, 50.0), (4, 99.0))
+    found, table = records.anchors(photos, kept, probed, render((1, 70.0)), previews_)
+    assert {r["photo_id"]: r["found"]["sharp"]["tone"]["median_l"] for r in found.collect()} == {1: 70.0, 2: 60.0, 3: 50.0, 4: 40.0} and table.count() == 4
+    for retried in (render((1, 49.0)), render((2, 70.0))):
+        with pytest.raises(RuntimeError):
+            records.anchors(photos, kept, probed, retried, previews_)
+
+
+def test_plan_modes_and_axes(spark, sf_dir):
+    shown, t = fixtures.record_tables(spark, sf_dir)
+    seeds = written(records.seed_vectors(t["pictures"], t["source_raw"], t["previews"], shown), "seeds")
+    rows = written(planner.responses(records.measures(shown, t, embedded=False).where("photo_id < 80"), record_queries._models(spark)), "rows")
+    only = planner.plan(rows, seeds, frozenset({"hsl"}))
+    assert {r["key"].rstrip("RedOrangYlwGnAquBPpiMt")[:3] for r in only.settings.collect()} <= {"Sat", "Lum", "Hue"} and only.settings.count() > 0
+    assert {r["counter"] for r in only.counts.collect()} == {"n_targets", "n_unresolved", "hsl_written"}
+    with pytest.raises(ValueError):
+        planner.plan(rows, seeds, frozenset({"tone"}))
+    whole = planner.plan(rows, seeds, frozenset({"wb"})).adjustments().first()["develop"]
+    assert set(whole) == {"Temperature", "Tint", "WhiteBalance"} and whole["WhiteBalance"] == "Custom" and "." not in whole["Tint"]
+    other = records.measures(shown, t, embedded=True).where("photo_id < 80")
+    none = planner.plan(planner.responses(other, record_queries._models(spark)), seeds.where("false"), frozenset({"calib"}))
+    assert none.settings.count() == 0 and {r["mode"] for r in none.counts.collect()} == {"embedded"}
+    a = spark.range(5).withColumnRenamed("id", "photo_id")
+    assert planner.same_photos(a, a.union(a)) and not planner.same_photos(a, a.where("photo_id < 4"))
+    head, more = planner.first_and_rest(a, "photo_id", 3)
+    assert [r["photo_id"] for r in head.collect()] == [0, 1, 2] and more == 2
+
+
+def test_csv_rows_and_last_features(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("photo,a,b\nx,9,1\ny,1,z\nx,2,3\n")
+    path = str(tmp_path / "f.csv")
+    assert {r["photo"]: (r["a"], r["b"]) for r in catalog.csv_features(spark, path, ["a", "b"]).collect()} == {"x": (2.0, 3.0), "y": (1.0, None)}
+    assert sorted(tuple(r) for r in catalog.csv_rows(spark, path, ["a", "b"], ("photo",)).collect()) == [("x", 2.0, 3.0), ("x", 9.0, 1.0)]
 
 
 def test_entry(spark):

@@ -11,12 +11,14 @@ SETTING = r'(\w+)\s*=\s*("[^"]*"|true|false|-?[\d.]+)'
 def shutter_seconds(shutter: Column) -> Column:
     """Seconds of a shutter text such as ``1/250``, ``0,4 s`` or ``2"``; null if it can't be read.
 
-    A zero denominator and times of zero or less are null; a negative fraction is not.
+    A zero denominator, a second slash and times of zero or less are null; a
+    negative fraction is not.
     """
     text = F.regexp_replace(F.regexp_replace(F.trim(shutter), r'["s ]+$', ""), ",", ".")
-    up, down = (F.trim(F.split_part(text, F.lit("/"), F.lit(i))).try_cast("double") for i in (1, 2))
+    parts = F.split(text, "/")
+    up, down = (F.trim(F.get(parts, F.lit(i))).try_cast("double") for i in (0, 1))
     plain = text.try_cast("double")
-    return F.when(text.contains("/"), up / F.nullif(down, F.lit(0.0))).when(plain > 0, plain)
+    return F.when(F.size(parts) == 2, up / F.nullif(down, F.lit(0.0))).when((F.size(parts) == 1) & (plain > 0), plain)
 
 
 def ev100(iso: Column, aperture: Column, seconds: Column) -> Column:
@@ -27,16 +29,52 @@ def ev100(iso: Column, aperture: Column, seconds: Column) -> Column:
 
 def develop_map(text: Column) -> Column:
     """``map<string,string>`` of the settings in a develop text; of repeated keys the last counts."""
+    return F.transform_values(_written(text), lambda _, v: F.trim(v, F.lit('"')))
+
+
+def _written(text: Column) -> Column:
+    """The settings as they are written, texts in quotes."""
     pattern = F.lit(SETTING)
-    pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda k, v: F.struct(k.alias("k"), F.trim(v, F.lit('"')).alias("v")))
+    pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
     none = F.from_json(F.lit("{}"), "map<string,string>")
     return F.aggregate(pairs, none, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
+def develop_typed(text: Column) -> Column:
+    """``map<string, struct<kind, text, number, flag>>`` of the settings: a text in quotes, true or false, a number with a point (float) or without (integer)."""
+
+    def typed(_: Column, v: Column) -> Column:
+        quoted, flag = v.startswith('"'), v.isin("true", "false")
+        kind = F.when(quoted, "text").when(flag, "flag").when(v.contains("."), "float").otherwise("integer")
+        return F.struct(kind.alias("kind"), F.when(quoted, F.trim(v, F.lit('"'))).alias("text"), F.when(~quoted & ~flag, v.try_cast("double")).alias("number"), F.when(flag, v == "true").alias("flag"))
+
+    return F.transform_values(_written(text), typed)
+
+
+# What settings of a style begin with.
+STYLES = ("HueAdjustment", "SaturationAdjustment", "LuminanceAdjustment", "ColorGrade", "ToneCurvePV2012")
+
+
+def style_flags(text: Column, prefixes: tuple[str, ...] = STYLES) -> Column:
+    """``map<string,boolean>``: for each prefix whether a number or a flag of that name isn't zero; and ``Look``, whether the text names one."""
+    entries = F.map_entries(develop_typed(text))
+    value = lambda e: F.coalesce(e["value"]["number"], e["value"]["flag"].cast("double"))
+    used = lambda p: F.exists(entries, lambda e: e["key"].startswith(p) & F.coalesce(F.abs(value(e)) > 1e-6, F.lit(False)))
+    pairs = [x for p in prefixes for x in (F.lit(p), used(p))]
+    return F.create_map(*pairs, F.lit("Look"), text.contains('Name = "'))
+
+
 def canonical_json(settings: Column) -> Column:
-    """Compact JSON of a ``map<string,double>`` with sorted keys; null is the empty map."""
+    """Compact JSON of a ``map<string,string>`` or of numbers with sorted keys; null is the empty map.
+
+    A text value that reads as a number, true, false, or a list of numbers is
+    written as that, so equal settings have one text whatever their type was.
+    """
+    escaped = lambda s: F.regexp_replace(F.regexp_replace(s, r"\\", r"\\\\"), '"', r'\\"')
+    plain = r"^(-?(0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?|true|false|null|\[[-+0-9.eE, ]*\])$"
+    value = lambda v: F.when(v.rlike(plain), F.replace(v, F.lit(" "), F.lit(""))).otherwise(F.concat(F.lit('"'), escaped(v), F.lit('"')))
     entries = F.array_sort(F.map_entries(settings))
-    parts = F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"].cast("string")))
+    parts = F.transform(entries, lambda e: F.concat(F.lit('"'), escaped(e["key"]), F.lit('":'), F.coalesce(value(e["value"].cast("string")), F.lit("null"))))
     return F.concat(F.lit("{"), F.coalesce(F.array_join(parts, ","), F.lit("")), F.lit("}"))
 
 

@@ -76,6 +76,15 @@ def targets(matches: DataFrame, seeds: DataFrame, how: Match = Match()) -> DataF
     return joined.groupBy("photo_id").agg(weighted("temperature").alias("temperature"), weighted("tint").alias("tint"), weighted("median_l").alias("target_l"), *[guarded(c) for c in fields], F.count("*").alias("n_matched"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "seed_id"))), lambda x: x["seed_id"]).alias("seed_ids"))
 
 
+TONE = ("median_l", "mean_l", "p05_l", "p95_l", "clipped_hi", "clipped_lo", "tonal_frac")
+
+
+def target_tone(matches: DataFrame, tones: DataFrame) -> DataFrame:
+    """Weighted tone (``photo_id``, ``tone``) of each photo's references, over those that have one (``photo_id`` and a ``tone`` struct)."""
+    known = tones.where("tone IS NOT NULL").select(F.col("photo_id").alias("seed_id"), *[F.col(f"tone.{c}").alias(c) for c in TONE])
+    return matches.join(known, "seed_id").groupBy("photo_id").agg(F.struct(*[weighted(c).alias(c) for c in TONE]).alias("tone"))
+
+
 def target_bands(matches: DataFrame, bands: DataFrame, share: float = 0.01) -> DataFrame:
     """Weighted bands of each photo's references, over bands with a share of at least ``share``; hue is an unweighted circular mean."""
     from ..functions.scalars import circular_mean

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars
-from ..operators import compare, measure, sharp_zone
+from ..operators import compare, measure
 from ..sources import catalog
 from . import fixtures as fx, oracle as o
 from .photo_queries import query, r6
@@ -90,13 +90,14 @@ def first_catalog(spark: SparkSession, d: str) -> DataFrame:
     return catalog.first_catalog(part.select(F.col("p_name").alias("photo")).distinct(), part.where("p_size > 25").select(F.col("p_name").alias("photo"), F.col("p_brand").alias("catalog")))
 
 
-@query("SELECT src, coalesce((SELECT min(path) FROM p WHERE lower(replace(path, '\\', '/')) = lower(replace(src, '\\', '/'))), (SELECT min(path) FROM p WHERE lower(split_part(replace(path, '\\', '/'), '/', -1)) = lower(split_part(replace(src, '\\', '/'), '/', -1)))) AS path FROM (SELECT 'A\\B/' || c_custkey || '.arw' AS src FROM customer WHERE c_custkey < 200) CROSS JOIN (SELECT 1) z".replace("FROM p ", "FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'a/b/' ELSE 'x/' END || c_custkey || '.ARW' AS path FROM customer WHERE c_custkey % 5 <> 0) p "))
+@query("""WITH p AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'a/b/' ELSE 'x/' END || c_custkey || '.ARW' AS path FROM customer WHERE c_custkey % 5 <> 0), s AS (SELECT 'A\\B/' || c_custkey || '.arw' AS src FROM customer), k AS (SELECT src, lower(replace(src, '\\', '/')) AS k FROM s)
+SELECT src, coalesce(e.path, n.path) AS path FROM k LEFT JOIN (SELECT lower(path) AS k, min(path) AS path FROM p GROUP BY 1) e ON e.k = k.k LEFT JOIN (SELECT lower(split_part(path, '/', -1)) AS f, min(path) AS path FROM p GROUP BY 1) n ON n.f = split_part(k.k, '/', -1)""")
 def path_match(spark: SparkSession, d: str) -> DataFrame:
     """Paths matched but for slashes and case, else by name."""
     key = F.col("c_custkey").cast("string")
     c = T(spark, d, "customer")
     paths = c.where("c_custkey % 5 <> 0").select(F.concat(F.when(F.col("c_custkey") % 2 == 0, "a/b/").otherwise("x/"), key, F.lit(".ARW")).alias("path"))
-    return catalog.match_paths(c.where("c_custkey < 200").select(F.concat(F.lit("A\\B/"), key, F.lit(".arw")).alias("src")), paths)
+    return catalog.match_paths(c.select(F.concat(F.lit("A\\B/"), key, F.lit(".arw")).alias("src")), paths)
 
 
 @query("SELECT DISTINCT coalesce(nullif(replace(c_name, '|', '_'), ''), 'unknown') || '|' || coalesce(nullif(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 0 THEN '' END, ''), 'unknown') AS key FROM customer")
@@ -104,9 +105,3 @@ def model_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of response models."""
     profile = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 3 == 0, "")
     return T(spark, d, "customer").select(scalars.model_key(F.col("c_name"), profile).alias("key")).distinct()
-
-
-@query("")
-def sharp_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Colour clusters of sharp zones; checked against numpy in tests."""
-    return r6(sharp_zone.clusters(fx.pixels(spark, d), sigma=1.0, least=8), "share", "r", "g", "b")

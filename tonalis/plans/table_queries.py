@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scalars
 from ..operators import store, studies
 from ..sources import images
-from ..streaming import bridge
 from . import fixtures as fx, oracle as o
 from .photo_queries import query, r6
 
@@ -67,29 +66,14 @@ def style_hashes(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "embeddings").select(n.alias("photo_id"), scalars.develop_hash(settings).alias("hash_develop"), scalars.style_hash(settings, ["Contrast2012", "Dehaze"], "v6").alias("hash_style"))
 
 
-@query("SELECT o_orderkey AS id, concat(r_name, '/', n_name, '/', c_name) AS path FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
-def catalog_path_join(spark: SparkSession, d: str) -> DataFrame:
-    """Path of each picture through folder and root."""
-    j = T(spark, d, "orders").join(T(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(T(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(T(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.select(F.col("o_orderkey").alias("id"), F.concat_ws("/", "r_name", "n_name", "c_name").alias("path"))
-
-
-@query("SELECT p_partkey AS id, p_name AS name, s_name AS lens, round_even(round(pow(2, p_size / 2.0e0) * 10, 6), 0) / 10 AS f_number, round(pow(2, -CAST(p_size AS DOUBLE)), 6) AS shutter_s FROM part LEFT JOIN supplier ON s_suppkey = p_partkey WHERE p_size <= 12")
+@query("SELECT p_partkey AS id, p_name AS name, s_name AS lens, round_even(round(pow(2, p_size / 2.0e0) * 10, 6), 0) / 10 AS f_number, round(pow(2, -CAST(p_size AS DOUBLE)), 6) AS shutter_s FROM part LEFT JOIN supplier ON s_suppkey = p_partkey")
 def ground_truth_join(spark: SparkSession, d: str) -> DataFrame:
     """Pictures with their lens, if known, and APEX values decoded."""
     size = F.col("p_size").cast("double")
-    j = T(spark, d, "part").where("p_size <= 12").join(T(spark, d, "supplier"), F.col("p_partkey") == F.col("s_suppkey"), "left")
+    j = T(spark, d, "part").join(T(spark, d, "supplier"), F.col("p_partkey") == F.col("s_suppkey"), "left")
     return j.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("s_name").alias("lens"), F.bround(F.pow(F.lit(2.0), size / 2.0), 1).alias("f_number"), F.round(F.pow(F.lit(2.0), -size), 6).alias("shutter_s"))
 
 
-@query("SELECT vec_id AS photo_id, CASE WHEN vec_id % 3 = 0 THEN 't/' || vec_id WHEN vec_id % 2 = 0 THEN 'p/' || vec_id END AS path, CASE WHEN vec_id % 3 = 0 THEN 'thumbnail' WHEN vec_id % 2 = 0 THEN 'preview' ELSE 'none' END AS channel FROM embeddings")
-def preview_channel(spark: SparkSession, d: str) -> DataFrame:
-    """The picture to measure: the thumbnail, else the preview."""
-    n = F.col("vec_id")
-    thumb, preview = F.when(n % 3 == 0, F.concat(F.lit("t/"), n.cast("string"))), F.when(n % 2 == 0, F.concat(F.lit("p/"), n.cast("string")))
-    return T(spark, d, "embeddings").select(n.alias("photo_id"), F.coalesce(thumb, preview).alias("path"), F.when(thumb.isNotNull(), "thumbnail").when(preview.isNotNull(), "preview").otherwise("none").alias("channel"))
-
-
 @query("""SELECT uuid, max(name) FILTER (size = top) AS name, any_value(top) AS size FROM (SELECT *, max(size) OVER (PARTITION BY uuid) AS top FROM (
   SELECT l_orderkey AS uuid, name, coalesce(TRY_CAST(regexp_extract(name, '_([0-9]+)$', 1) AS BIGINT), -1) AS size FROM (SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN 'f-' || l_orderkey ELSE 'f-' || l_orderkey || '_' || CAST(l_quantity AS BIGINT) END AS name FROM lineitem))) GROUP BY uuid""")
 def largest_preview(spark: SparkSession, d: str) -> DataFrame:
@@ -154,13 +138,6 @@ def regress_loo(spark: SparkSession, d: str) -> DataFrame:
 _MOM = "mom AS (SELECT profile, count(*) AS n, avg(rg) AS m1, avg(bg) AS m2, avg(temperature) AS my, covar_pop(rg,rg) AS s11, covar_pop(rg,bg) AS s12, covar_pop(rg,temperature) AS s1y, covar_pop(bg,bg) AS s22, covar_pop(bg,temperature) AS s2y, covar_pop(temperature,temperature) AS syy FROM photo GROUP BY 1), fit AS (SELECT *, (s1y*s22-s2y*s12)/(s11*s22-s12*s12) AS a, (s2y*s11-s1y*s12)/(s11*s22-s12*s12) AS b FROM mom), fitc AS (SELECT *, my-a*m1-b*m2 AS c FROM fit)"
 
 
-@query(o.with_(o.PX, o.LAB, o.PHOTO, _MOM) + "SELECT profile, n, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM fitc")
-def regress_plane(spark: SparkSession, d: str) -> DataFrame:
-    """Temperature on both ratios, for each profile."""
-    fit = studies.plane(studies.moments(fx.photos(spark, d), "profile", "rg", "bg", "temperature"))
-    return fit.select("profile", "n", *[F.round(c, 4).alias(c) for c in "abc"])
-
-
 @query(o.with_(o.PX, o.LAB, o.PHOTO, _MOM) + "SELECT f.profile AS fit_on, p.profile AS tested_on, round(sqrt(avg(pow(temperature - f.a*rg - f.b*bg - f.c, 2))), 3) AS rmse FROM fitc f, photo p GROUP BY 1, 2")
 def cross_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Error of each profile's fit on each other's photos."""
@@ -176,12 +153,6 @@ def wb_regime(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 4) for c in ("intercept", "residual", "spread")})
 
 
-@query(o.with_(o.PX, o.LAB, o.PHOTO, "z AS (SELECT photo_id, temperature-2450.0e0*rg AS z FROM photo), r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY md5(trial || '-' || photo_id), photo_id) AS rank FROM z, range(20) t(trial)), i AS (SELECT k, trial, median(z) AS i FROM r, (VALUES (3), (5), (8), (12), (20), (40)) v(k) WHERE rank <= k GROUP BY 1, 2), m AS (SELECT avg(z) AS mz, var_pop(z) AS vz, count(*) AS n FROM z)") + "SELECT k, round(avg(sqrt(vz + pow(mz-i, 2))), 4) AS rmse, count(*) AS trials FROM i, m WHERE k < n GROUP BY 1")
-def seed_curve(spark: SparkSession, d: str) -> DataFrame:
-    """How the error falls with the number of references."""
-    return studies.seed_curve(fx.photos(spark, d), (3, 5, 8, 12, 20, 40), 20).withColumn("rmse", F.round("rmse", 4))
-
-
 @query("SELECT l_suppkey AS band, round(CASE WHEN count(*) < 2 OR var_pop(l_quantity)*count(*) < 1e-9 THEN 0 ELSE coalesce(regr_slope(l_extendedprice, l_quantity), 0) END, 4) AS slope FROM lineitem GROUP BY 1")
 def response_fit(spark: SparkSession, d: str) -> DataFrame:
     """Slope of a probed response for each band."""
@@ -198,34 +169,6 @@ def big_pixels(spark: SparkSession, d: str) -> DataFrame:
     return rgb.withColumn("l", lum).groupBy("photo_id").agg(F.count("*").alias("n"), F.round(F.avg("l"), 6).alias("mean_l"), F.round(F.median("l"), 6).alias("median_l"))
 
 
-_J = o.with_(o.JOBS)
-
-
-@query(o.with_(o.JOBS, "c AS (SELECT *, sum(CASE WHEN kind='submit' THEN 1 ELSE 0 END) OVER w AS a, sum(CASE WHEN kind='poll' THEN 1 ELSE 0 END) OVER w AS j FROM jobs WHERE kind IN ('submit','poll') WINDOW w AS (PARTITION BY worker ORDER BY ts, job_id)), s AS (SELECT *, j + least(0, min(CASE WHEN kind='poll' THEN a-j END) OVER (PARTITION BY worker ORDER BY ts, job_id)) AS taken FROM c), t AS (SELECT worker, ts, taken, lag(taken, 1, 0) OVER (PARTITION BY worker ORDER BY ts, job_id) AS prev FROM s WHERE kind='poll')") + "SELECT c.worker, c.job_id, CAST(c.a AS BIGINT) AS n, epoch_us(c.ts) AS submitted_us, epoch_us(t.ts) AS polled_us FROM c LEFT JOIN t ON t.worker=c.worker AND t.taken > t.prev AND t.taken=c.a WHERE c.kind='submit'")
-def job_queue(spark: SparkSession, d: str) -> DataFrame:
-    """The poll that takes each submitted job."""
-    out = bridge.polled(fx.events(spark, d))
-    return out.select("worker", "job_id", "n", F.unix_micros("submitted_at").alias("submitted_us"), F.unix_micros("polled_at").alias("polled_us"))
-
-
-@query(_J + "SELECT s.worker, s.job_id, CASE WHEN p IS NULL OR epoch_us(p)-epoch_us(ts) > 900000000 THEN 'evicted' ELSE 'polled' END AS status FROM (SELECT *, min(CASE WHEN kind='poll' THEN ts END) OVER (PARTITION BY worker ORDER BY ts, job_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS p FROM jobs) s WHERE kind='submit'")
-def job_expiry(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs that expire before their worker polls."""
-    return bridge.expiry(fx.events(spark, d))
-
-
-@query(_J + "SELECT worker, job_id, round(gap, 6) AS gap FROM (SELECT *, (epoch_us(ts)-epoch_us(lag(ts) OVER (PARTITION BY worker ORDER BY ts, job_id)))/1e6 AS gap FROM jobs WHERE kind='poll') WHERE gap > 5")
-def heartbeat_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Silences of a worker."""
-    return r6(bridge.heartbeat_gaps(fx.events(spark, d)), "gap")
-
-
-@query(o.with_(o.JOBS, "c AS (SELECT *, sum(CASE WHEN kind='submit' THEN 1 ELSE -1 END) OVER (PARTITION BY worker ORDER BY ts, job_id) AS s FROM jobs WHERE kind IN ('submit','poll')), l AS (SELECT *, s-least(0, min(s) OVER (PARTITION BY worker ORDER BY ts, job_id)) AS len FROM c)") + "SELECT worker, CAST(max(len) AS BIGINT) AS most, max(len) >= 100 AS saturated FROM l GROUP BY 1")
-def queue_saturation(spark: SparkSession, d: str) -> DataFrame:
-    """Longest queue of each worker."""
-    return bridge.pending(fx.events(spark, d)).withColumn("most", F.col("most").cast("long"))
-
-
 @query("SELECT o_orderkey AS id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS chunk FROM orders")
 def batch_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Rows in chunks of fifty."""
@@ -282,10 +225,3 @@ def develop_parse(spark: SparkSession, d: str) -> DataFrame:
     """Settings read from develop texts."""
     rows = spark.createDataFrame(list(enumerate(_TEXTS)), "i int, s string")
     return rows.select("i", F.explode(scalars.develop_map(F.col("s"))).alias("key", "value"))
-
-
-@query("")
-def demosaic(spark: SparkSession, d: str) -> DataFrame:
-    """Linear pixels of mosaics; checked against numpy in tests."""
-    e = T(spark, d, "embeddings").select(F.col("vec_id").alias("photo_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.transform("embedding", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x.cast("double") + 0.5))).alias("plane"))
-    return r6(images.demosaiced(e), "lr", "lg", "lb")

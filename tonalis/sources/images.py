@@ -1,11 +1,11 @@
-"""Picture files: the JPEG stream within a container, previews by size, decoding, and mosaics."""
+"""Picture files: the JPEG stream within a container, previews by size, and decoding."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
@@ -13,10 +13,8 @@ from ..session import ship_package
 
 def jpeg_stream(content: Column) -> Column:
     """The bytes from the first JPEG start marker on; null if there is none."""
-    at = F.locate("FFD8FF", F.hex(content))
-    # the marker must begin at a whole byte
-    clean = F.regexp_extract(F.hex(content), "^(?:..)*?(FFD8FF.*)$", 1)
-    return F.when((at > 0) & (clean != ""), F.unhex(clean))
+    at = F.call_function("locate", F.lit(bytearray(b"\xff\xd8\xff")), content)
+    return F.when(at > 0, F.call_function("substring", content, at))
 
 
 def preview_folder(uuid: Column) -> Column:
@@ -30,48 +28,50 @@ def largest_preview(files: DataFrame) -> DataFrame:
     return files.groupBy("uuid").agg(F.max(F.struct(size.alias("size"), "name")).alias("_")).select("uuid", F.col("_.name").alias("name"), F.col("_.size").alias("size"))
 
 
-def decoded(spark: SparkSession, path: str) -> DataFrame:
-    """Pictures that the JVM can read, with size and pixels; unreadable files are left out."""
-    return spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+def pictures(spark: SparkSession, path: str) -> DataFrame:
+    """Pictures that the JVM can read (``path``, ``height``, ``width``, ``data`` as RGB by rows); a file that can't be read is a row of nulls."""
+    found = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    return as_rgb(found.select(F.col("origin").alias("path"), "height", "width", "nChannels", "data"))
 
 
-def pixel_table(images: DataFrame) -> DataFrame:
-    """A row for each pixel of ``photo_id``, ``height``, ``width`` and 8-bit BGR ``data``."""
-    schema = "photo_id long, x int, y int, r int, g int, b int"
+def as_rgb(images: DataFrame) -> DataFrame:
+    """Decoded pictures of one, three (BGR) or four (BGRA) channels as RGB; nulls for those without pixels."""
+    schema = "path string, height int, width int, data binary"
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
         for batch in batches:
-            for photo, h, w, data in zip(batch["photo_id"], batch["height"], batch["width"], batch["data"], strict=True):
-                bgr = np.frombuffer(data, np.uint8).reshape(h, w, 3).astype(np.int32)
-                y, x = np.mgrid[0:h, 0:w]
-                yield pd.DataFrame({"photo_id": photo, "x": x.ravel(), "y": y.ravel(), "r": bgr[..., 2].ravel(), "g": bgr[..., 1].ravel(), "b": bgr[..., 0].ravel()})
+            out = []
+            for path, h, w, n, data in zip(*(batch[c].to_pylist() for c in ("path", "height", "width", "nChannels", "data")), strict=True):
+                ok = data and n in (1, 3, 4) and h and w and len(data) == h * w * n
+                raw = np.frombuffer(data, np.uint8).reshape(h, w, n) if ok else None
+                rgb = None if raw is None else np.repeat(raw, 3, axis=2) if n == 1 else raw[..., 2::-1]
+                out.append({"path": path, "height": h if ok else None, "width": w if ok else None, "data": rgb.tobytes() if ok else None})
+            yield pa.RecordBatch.from_pylist(out, schema=target)
 
     ship_package(images.sparkSession)
-    return images.select("photo_id", "height", "width", "data").mapInPandas(explode, schema)
+    return images.mapInArrow(work, schema)
 
 
-def demosaic(values: np.ndarray, sites: np.ndarray) -> np.ndarray:
-    """Bilinear interpolation of a mosaic: ``sites`` says which of three channels each place has."""
-    kernel = np.array([[1, 2, 1], [2, 4, 2], [1, 2, 1]], float)
+def wanted_pictures(spark: SparkSession, wanted: DataFrame, path: str) -> DataFrame:
+    """Every wanted ``path`` with its picture, nulls where there is none or it can't be read."""
+    return wanted.join(pictures(spark, path), "path", "left")
 
-    def blur(plane: np.ndarray) -> np.ndarray:
-        p = np.pad(plane, 1)
-        h, w = plane.shape
-        return sum(kernel[i, j] * p[i : i + h, j : j + w] for i in range(3) for j in range(3))
 
-    return np.stack([blur(values * (sites == c)) / (blur((sites == c).astype(float)) + 1e-8) for c in range(3)], axis=-1)
+def first_readable(*candidates: tuple[str, DataFrame]) -> DataFrame:
+    """For each ``photo_id`` the first of several named sources (``photo_id``, ``height``, ``width``, ``data``) whose picture can be read, as ``channel``; ``none`` if no source can.
 
+    A source that names a picture that can't be read is passed over.
+    """
+    parts = [df.select("photo_id", F.struct(F.lit(i).alias("order"), F.lit(name).alias("channel"), "height", "width", "data").alias("s"), F.col("data").isNotNull().alias("ok")) for i, (name, df) in enumerate(candidates)]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    best = both.groupBy("photo_id").agg(F.min_by("s", F.when(F.col("ok"), F.col("s.order"))).alias("s"))
+    return best.select("photo_id", F.coalesce("s.channel", F.lit("none")).alias("channel"), "s.height", "s.width", "s.data")
 
-def demosaiced(mosaics: DataFrame) -> DataFrame:
-    """Linear pixels of mosaics (``photo_id``, ``height``, ``width``, ``plane`` array of doubles, RGGB), a row for each."""
-    schema = "photo_id long, pos int, lr double, lg double, lb double"
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for photo, h, w, plane in zip(batch["photo_id"], batch["height"], batch["width"], batch["plane"], strict=True):
-                y, x = np.mgrid[0:h, 0:w]
-                rgb = demosaic(np.asarray(plane, float).reshape(h, w), (y % 2) + (x % 2)).reshape(-1, 3).clip(0, 1)
-                yield pd.DataFrame({"photo_id": photo, "pos": np.arange(h * w), "lr": rgb[:, 0], "lg": rgb[:, 1], "lb": rgb[:, 2]})
-
-    ship_package(mosaics.sparkSession)
-    return mosaics.select("photo_id", "height", "width", "plane").mapInPandas(work, schema)
+def channel_report(found: DataFrame) -> str:
+    """Why no picture could be measured, by what was found for each photo (``channel``)."""
+    n = {r["channel"]: r["count"] for r in found.groupBy("channel").count().collect()}
+    return f"no render of {sum(n.values())} photos: " + ", ".join(f"{k} {v}" for k, v in sorted(n.items()))
