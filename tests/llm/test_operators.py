@@ -173,7 +173,9 @@ def brute_lines(docs, least=40, documents=5):
     return sorted(out, key=str)
 
 
-def test_line_dedup(spark, odd, none):
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_line_dedup(spark, monkeypatch, odd, none, sent):
+    monkeypatch.setattr(linededup, "MOST_REPEATED", sent)
     line, other = "A line that many documents share, ÄÖ " * 2, "x" * 39
     docs = [(i, f"{words(i, 3)}\n \t{line.upper() if i % 2 else line}\r\n{other}\n{line}") for i in range(9)] + [(None, line), (20, None), (21, ""), (3, line), (22, "y" * 40 + "\n" + "é" * 39 + "\n" + "é" * 40)] + [(30 + i, "é" * 40 + "\n" + "é" * 39) for i in range(5)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_dropped", F.lit("clash")).repartition(5)
@@ -192,9 +194,10 @@ def test_line_filters_of_any_size_give_one_result(spark, monkeypatch):
     shared = [f"{words(i, 9, 10**6)} shared line" for i in range(30)]
     docs = [(i, "\n".join([words(10**4 + i * 50 + k, 9, 10**6) for k in range(40)] + rng.sample(shared, 6))) for i in range(150)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
-    for most in (9, 12, 29):  # full of bits, nearly full, roomy
+    for most, sent in ((9, 5), (12, 1000), (29, 0)):  # full of bits, nearly full, roomy; repeated lines joined, sent, joined
         monkeypatch.setattr(linededup, "LEAST_BITS", 9)
         monkeypatch.setattr(linededup, "MOST_BITS", most)
+        monkeypatch.setattr(linededup, "MOST_REPEATED", sent)
         got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(df).collect()), key=str)
         assert got == brute_lines(docs) and sum(r[2] for r in got) > 100
     assert [linededup.filter_bits(n) for n in (0, 1, 2**9, 10**12)] == [9, 9, 12, 29]

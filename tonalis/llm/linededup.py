@@ -9,14 +9,18 @@ exact 128-bit key, to count their documents and to choose the one that keeps the
 The filters have ``BITS_A_LINE`` bits for each line that the corpus can hold, by
 its characters, up to ``2 ** MOST_BITS`` (64 MB, which bounds what is broadcast and
 what a task holds).  A corpus that outgrows them shuffles more suspects, at worst
-24 bytes for each of its lines, but loses no repeat.  Keys that very many documents
-hold are sent to all executors, so none of them meets in one task.
+24 bytes for each of its lines, but loses no repeat.
+
+The repeated keys with the document that keeps each are sent to all executors while
+they are at most ``MOST_REPEATED`` (24 bytes each), and every text is judged where it
+lies.  Beyond that they meet the documents in a join; keys that very many documents
+hold are sent to all executors even then, so none of them meets in one task.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from .common import join_unique, map_batches, release, rows, saved, unused_name
 #: Bits for each line, the logarithms of the least and the largest filter, and slices that are merged apart.
 BITS_A_LINE, LEAST_BITS, MOST_BITS = 8, 20, 29
 SLICES = 64
+MOST_REPEATED = 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 PARTS = "slice int, part int, once binary, twice binary"
 
@@ -163,30 +168,64 @@ def dedup_lines(df: DataFrame, least: int = 40, documents: int = 5) -> DataFrame
 
     found = saved(map_batches(named, suspects, "doc_id long, key binary").distinct(), "suspect-lines")
     repeated = saved(found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= documents), "repeated-lines")
+    kept = df.drop("n_lines", "n_dropped")
+    schema = StructType([*kept.schema.fields]).add("n_lines", LongType()).add("n_dropped", LongType())
+    if repeated.count() <= MOST_REPEATED:
+        known = spark.sparkContext.broadcast(Keepers(repeated.select("key", "keeper").toArrow()))
+        release(found, repeated)
+
+        def gone(batch: pa.RecordBatch) -> Iterator[list[bytes] | None]:
+            texts, names = batch["text"].to_pylist(), batch["doc_id"].cast(pa.int64()).to_pylist()
+            own = [list({*line_keys(t, least)} - {None}) if n is not None else [] for t, n in zip(texts, names, strict=True)]
+            keepers = known.value.of([k for keys in own for k in keys])
+            at = 0
+            for keys, name in zip(own, names, strict=True):
+                yield [k for k, keeper in zip(keys, keepers[at : at + len(keys)], strict=True) if keeper is not None and name < keeper]
+                at += len(keys)
+
+        return map_batches(kept, _dropping(gone, least, schema), schema)
     doc, keys = (unused_name(x, df.columns) for x in ("doc", "keys"))
     drops = saved(join_unique(found, repeated, "key", "n", found.count()).where("doc_id < keeper").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("key").alias(keys)), "dropped-lines")
     release(found, repeated)
-    kept = df.drop("n_lines", "n_dropped")
     joined = kept.join(drops, kept["doc_id"].cast("long") == drops[doc], "left").drop(doc)
-    schema = StructType([*kept.schema.fields]).add("n_lines", LongType()).add("n_dropped", LongType())
+    return map_batches(joined, _dropping(lambda batch: batch[keys].to_pylist(), least, schema), schema)
+
+
+class Keepers:
+    """The documents that keep repeated keys, in order of the keys' halves."""
+
+    def __init__(self, table: pa.Table) -> None:
+        halves = np.frombuffer(b"".join(table["key"].to_pylist()), "<u8").reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        self.first, self.second = halves[order, 0].copy(), halves[order, 1].copy()
+        self.keeper = table["keeper"].to_numpy()[order]
+
+    def of(self, keys: list[bytes]) -> list[int | None]:
+        """The document that keeps each key; None for keys that aren't repeated."""
+        out: list[int | None] = [None] * len(keys)
+        if keys and len(self.first):
+            halves = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+            begin, end = (np.searchsorted(self.first, halves[:, 0], side) for side in ("left", "right"))
+            for i in np.flatnonzero(begin < end).tolist():
+                for j in range(int(begin[i]), int(end[i])):
+                    if self.second[j] == halves[i, 1]:
+                        out[i] = int(self.keeper[j])
+        return out
+
+
+def _dropping(gone: Callable[[pa.RecordBatch], Iterable[list[bytes] | None]], least: int, schema: StructType):  # noqa: ANN202
+    """Takes from each text the lines of the keys that ``gone`` gives for it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, lost = [], [], []
-            for text, drop in zip(batch["text"].to_pylist(), batch[keys].to_pylist(), strict=True):
-                if drop:
-                    gone = set(drop)
-                    lines = text.split("\n")
-                    stay = [line for line, key in zip(lines, line_keys(text, least), strict=True) if key not in gone]
-                    texts.append("\n".join(stay))
-                    totals.append(len(lines))
-                    lost.append(len(lines) - len(stay))
-                else:
-                    texts.append(text)
-                    totals.append((text or "").count("\n") + 1)
-                    lost.append(0)
-            i = batch.schema.get_field_index("text")
-            columns = [pa.array(texts, pa.string()) if k == i else c for k, c in enumerate(batch.columns) if batch.schema.field(k).name != keys]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(lost, pa.int64())], names=schema.names)
-
-    return map_batches(joined, work, schema)
+            for text, drop in zip(batch["text"].to_pylist(), gone(batch), strict=True):
+                lines, drop = (text or "").split("\n"), set(drop or ())
+                stay = [line for line, key in zip(lines, line_keys(text, least), strict=True) if key not in drop] if drop else lines
+                texts.append("\n".join(stay) if drop else text)
+                totals.append(len(lines))
+                lost.append(len(lines) - len(stay))
+            of = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(totals, pa.int64()), "n_dropped": pa.array(lost, pa.int64())}
+            yield pa.RecordBatch.from_arrays([of[n] if n in of else batch[n] for n in schema.names], names=schema.names)
+
+    return work
