@@ -308,6 +308,33 @@ def test_secrets(spark, odd, none):
     assert secretscan.scan(odd, forest, vocabulary).count() == 0 and secretscan.scan(none, forest, vocabulary).count() == 0
 
 
+def test_forms_that_were_not_learned():
+    found = secretscan.held_out_forms(secretscan.dictionary(public_path(WORD)), each=25)
+    secrets, clean = ([share for kind, share in found.values() if kind is y] for y in (True, False))
+    assert np.mean(secrets) > 0.85 and np.mean(clean) > 0.7
+
+
+def test_secrets_learned_from_a_table(spark):
+    known = secretscan.dictionary(public_path(WORD))
+    rows = [(f.candidate, f.before, f.after or None, f.path, y) for f, y in secretscan.example_findings(each=15)]
+    rows += [(None, "a", "b", "c", True), ("x" * 20, None, None, None, None)]
+    df = spark.createDataFrame(rows, secretscan.LABELLED).withColumn("doc_id", F.lit(1))
+    forest = secretscan.fit_table(df, known)
+    fresh = secretscan.example_findings(each=10, seed=77)
+    p = forest.probability(np.array([secretscan.features(f, known) for f, _ in fresh], float))
+    assert np.mean((p >= 0.5) == [y for _, y in fresh]) > 0.9
+    assert len(secretscan.fit_table(df, known, most=200).roots) == secretscan.TREES
+    for bad in (df.where("false"), df.where("is_secret")):
+        with pytest.raises(ValueError):
+            secretscan.fit_table(bad, known)
+
+
+def test_candidates_without_a_digit():
+    found = lambda t: [f.candidate for _, f in secretscan.candidates(t)]
+    assert found("see qTrWxZkvLmNbGhYuJkLo there") == ["qTrWxZkvLmNbGhYuJkLo"]
+    assert found("internationalization and Counterproductively ALLCAPITALSHERETOO") == []
+
+
 def test_secrets_of_any_length_and_place(spark):
     vocabulary = public_path(WORD)
     forest = secretscan.fit(secretscan.example_findings(), secretscan.dictionary(vocabulary))
@@ -397,6 +424,33 @@ def test_rare_words_have_classes_of_their_own(spark):
         assert x[:5] == y[:5] and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(x[5:], y[5:], strict=True))
 
 
+def test_class_model_is_a_distribution_and_scores_by_it(spark):
+    rng = random.Random(41)
+    docs = [(i, " ".join(rng.choice(["the", "a", "of"]) if rng.random() < 0.5 else f"w{rng.randrange(60)}" for _ in range(40))) for i in range(60)] + [(100, None), (101, "never seen before"), (None, "the a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model, classed = brown.learn(df)
+    assert np.allclose((10.0**model.transition).sum(axis=1), 1)
+    rows = [tuple(r) for r in classed.select("word", "n", "class").collect()]
+    mass = np.zeros(brown.CLASSES)
+    for _, n, c in rows:
+        mass[c] += (n + 0.5) / 10 ** model.log_class[c]
+    rare = np.zeros(brown.CLASSES)  # what is left to words that training didn't see, in the classes of their shapes
+    rare[model.class_of[brown.HEAD :]] = 1
+    used = (mass > 0) | (rare > 0)
+    assert np.allclose((mass + rare * 0.5 / 10**model.log_class)[used], 1)
+    of, count = {w: c for w, _, c in rows}, {w: n for w, n, _ in rows}
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in brown.score(df, model, classed).collect()}
+    assert got == {(r["doc_id"], r["n_tokens"]): pytest.approx(r["score"], rel=1e-9) for r in brown.learn_and_score(df).collect()}
+    for name, text in docs:
+        total, last = 0.0, int(model.class_of[model.head[brown.number(b"")]])
+        words_ = [*(text or "").lower().encode().split(), b""]
+        for w in words_:
+            c = of.get(brown.number(w), int(model.class_of[brown.HEAD + brown.shape(w)]))
+            total += model.transition[last, c] + math.log10(count.get(brown.number(w), 0) + 0.5) - model.log_class[c]
+            last = c
+        assert math.isclose(got[name, len(words_)], total, rel_tol=1e-9)
+
+
 def brute_top(rows, queries, k, kind=lambda x: float(np.float32(x))):
     whole = lambda v: [math.floor(1024 * kind(x)) for x in v]
     ok = [(i, whole(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]

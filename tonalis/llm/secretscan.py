@@ -7,14 +7,17 @@ characters and their transitions, how much of it dictionary words cover), of the
 words beside it and of the document's path go to a forest of decision trees,
 trained in numpy from labelled findings.
 
-The tables of this repository hold no labelled findings, so ``example_findings``
-makes a fixed set of them: well-known forms of keys and tokens in assignments on
-one side; hashes, ids, numbers, addresses, paths, names and placeholders on the
-other.  ``fit`` takes any others in their place.
+``fit_table`` learns from a table of labelled findings, with the columns of
+``LABELLED``.  The tables of this repository hold none, so the query learns from
+``example_findings``, a fixed set of well-known forms: keys and tokens in
+assignments on one side; hashes, ids, numbers, addresses, paths, names and
+placeholders on the other.  How well forms are judged that the forest hasn't seen
+is measured by leaving out each form in turn (``tests/llm``, README).
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches, rows
 
-#: A candidate: a run of at least 16 key characters with a digit in it.
-CANDIDATE = re.compile(r"(?<![\w+/.@-])(?=[A-Za-z_+/.=-]*[0-9])[A-Za-z0-9_+/.-]{16,}={0,2}(?![\w+/@])")
+#: A candidate: a run of at least 16 key characters with a digit in it, or in which capitals follow small letters twice.
+CANDIDATE = re.compile(r"(?<![\w+/.@-])(?=[A-Za-z_+/.=-]*[0-9]|[A-Z_+/.=-]*[a-z][a-z_+/.=-]*[A-Z][A-Z_+/.=-]*[a-z][a-z_+/.=-]*[A-Z])[A-Za-z0-9_+/.-]{16,}={0,2}(?![\w+/@])")
 #: A password, or a user alone, before the host of an address.
 LOGIN = re.compile(r"://(?:[^\s/:@\"'`<>]*+:)?+([^\s/\"'`<>]+)@")
 #: A name to which something is assigned, and a value: in quotes, or up to white space or a separator.
@@ -42,6 +45,10 @@ HINT = re.compile("|".join(HINTS), re.IGNORECASE)
 DOUBTS = ("example", "sample", "dummy", "test", "hash", "sha", "sha1", "sha256", "md5", "commit", "checksum", "uuid", "digest", "id", "version", "revision", "placeholder", "isbn", "serial")
 PATH_DOUBTS = ("test", "example", "doc", "fixture", "sample", "mock", "vendor")
 TREES, DEPTH, LEAF = 31, 9, 3
+#: Labelled findings: a candidate, the text on both sides of it, the path of its document, and whether it is a secret.
+LABELLED = "candidate string, before string, after string, path string, is_secret boolean"
+#: Labelled findings that are learned from, drawn by a hash where there are more.
+MOST_LABELLED = 50_000
 FINDINGS = "doc_id long, start long, length int, probability double, is_secret boolean"
 
 
@@ -80,6 +87,12 @@ def dictionary(tokenizer: str) -> Dictionary:
     return Dictionary(sorted(w[:-4] for w in vocabulary if w.endswith("</w>") and len(w) >= 8 and w[:-4].isalpha() and w.isascii()))
 
 
+@functools.cache
+def _worker_dictionary(tokenizer: str) -> Dictionary:
+    """The worker's own dictionary, kept for as long as the worker lives."""
+    return dictionary(tokenizer)
+
+
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
@@ -155,7 +168,8 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Forest:
             gain = np.where(ok, parent - (k * left * (1 - left) + (n - k) * right * (1 - right)) / n, -1)
             i = int(gain.argmax())
             if gain[i] > best[0]:
-                best = (float(gain[i]), f, float(v[i] + v[i + 1]) / 2)
+                between = float(v[i] + v[i + 1]) / 2
+                best = (float(gain[i]), f, between if between < v[i + 1] else float(v[i]))
         _, f, threshold = best
         if f >= 0:
             go = x[rows_, f] > threshold
@@ -173,8 +187,29 @@ def fit(findings: list[tuple[Finding, bool]], known: Dictionary) -> Forest:
     return grow(np.array([features(f, known) for f, _ in findings], float), np.array([float(y) for _, y in findings]))
 
 
+def fit_table(df: DataFrame, known: Dictionary, most: int = MOST_LABELLED) -> Forest:
+    """A forest from a table of labelled findings (``LABELLED``), at most ``most`` of them.
+
+    Rows without a candidate or a label are left out, other nulls are empty texts;
+    repeated rows count as often as they occur, other columns are ignored.  Fewer
+    than two rows, or rows of one label alone, are an error.
+    """
+    rows_ = df.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in LABELLED.split(", ")]).where("candidate <> '' AND is_secret IS NOT NULL")
+    n = rows_.count()
+    drawn = rows_ if n <= most else rows_.orderBy(F.xxhash64("candidate", "before", "after", "path"), "candidate", "before", "after", "path").limit(most)
+    found = [(Finding(r["candidate"], r["before"] or "", r["after"] or "", r["path"] or ""), r["is_secret"]) for r in drawn.collect()]
+    if len({y for _, y in found}) < 2:
+        raise ValueError("labelled findings must hold secrets and others")
+    return fit(sorted(found, key=str), known)
+
+
 def example_findings(each: int = 60, seed: int = 5) -> list[tuple[Finding, bool]]:
-    """The fixed labelled set: ``each`` findings of every form below."""
+    """The fixed labelled set."""
+    return [(f, y) for _, f, y in example_forms(each, seed)]
+
+
+def example_forms(each: int = 60, seed: int = 5) -> list[tuple[str, Finding, bool]]:
+    """``each`` findings of every form below, with the name of the form and whether they are secrets."""
     rng = np.random.default_rng(seed)
     digits, lower, upper, hexa = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
     pick = lambda chars, n: "".join(rng.choice(list(chars), n))
@@ -184,7 +219,7 @@ def example_findings(each: int = 60, seed: int = 5) -> list[tuple[Finding, bool]
     text = lambda n: " ".join(word() for _ in range(n))
     name = lambda: one("token", "api_key", "secret", "password", "auth_token", "access_key", "private_key", "client_secret", "API_KEY", "TOKEN", "Secret")
     assign = lambda: text(3) + " " + name() + one(" = \"", ": \"", "=", " = '", ": ", " = ", "=\"")
-    path = lambda: one("src", "src0", "src7", "app/config", "server", "")
+    path = lambda: one("lib/core", "app/config", "server", "web/main", "notes", "")
     shift = lambda s: s.upper() if rng.random() < 0.2 else s
     password = lambda: pick(lower + upper + one("", digits, digits + "!$%&*#?+-_"), int(rng.integers(8, 16)))
     login = lambda: text(2) + one(" postgres", " mysql", " https", " amqp", " redis", " url=mongodb", " \"ftp") + "://" + one(word(), "root", "admin", "") + ":"
@@ -206,10 +241,11 @@ def example_findings(each: int = 60, seed: int = 5) -> list[tuple[Finding, bool]
         (lambda: "_".join(word() for _ in range(4)) + pick(digits, 1), lambda: text(2) + one(" ", " = ", " key: ")),
         (lambda: "".join(word().capitalize() for _ in range(4)) + pick(digits, 2), lambda: text(3) + " "),
         (lambda: "".join(word() for _ in range(4)) + pick(digits, 3), lambda: text(3) + " "),
+        (lambda: word() + "".join(word().capitalize() for _ in range(4)), lambda: text(3) + one(" ", " = ", " def ", " key ")),
         (lambda: one("YOUR_API_KEY_", "EXAMPLE_TOKEN_", "your-secret-here-", "changeme-please-", "dummy_password_") + pick(digits, 4), assign),
         (lambda: one("x", "X", "0", "1") * int(rng.integers(16, 40)) + "1", assign),
         (lambda: "AKIA" + pick(upper, 8) + "EXAMPLE1", assign),
-        (lambda: word() + "." + word() + pick(digits, 2) + ".example.com", lambda: text(3) + one(" ", " mail ")),
+        (lambda: word() + "." + word() + pick(digits, 2) + one(".net", ".org", ".io"), lambda: text(3) + one(" ", " at ", " host ")),
         (lambda: one(word(), word().capitalize(), "true", "null", "none", "None", "string", "required", "undefined"), assign),
         (lambda: one("${", "{{", "$", "<", "%(") + name() + one("}", "}}", "", ">", ")s"), assign),
         (lambda: one("os.environ", "config.get", "process.env", "settings.", "self.") + one("", ".", "(") + name(), assign),
@@ -219,13 +255,26 @@ def example_findings(each: int = 60, seed: int = 5) -> list[tuple[Finding, bool]
     ]
     out = []
     for _ in range(each):
-        for s in secrets:
-            out.append((Finding(s(), assign(), one("\" ", "'", " ", "\n") + text(2), path()), True))
-        for s in (password, secrets[0], secrets[8]):
-            out.append((Finding(s(), login(), "@" + word() + one(".com/", ":5432/", ".example.org ") + text(1), path()), True))
-        for s, before in clean:
-            out.append((Finding(s(), before(), one(" ", ".", "\n") + text(2), path()), False))
-        out.append((Finding(secrets[0](), assign(), "\" " + text(2), one("tests/", "docs/", "examples/", "fixtures/")), False))
+        for i, s in enumerate(secrets):
+            out.append((f"assigned {i}", Finding(s(), assign(), one("\" ", "'", " ", "\n") + text(2), path()), True))
+        for i, s in enumerate((password, secrets[0], secrets[8])):
+            out.append((f"login {i}", Finding(s(), login(), "@" + word() + one(".com/", ":5432/", ".example.org ") + text(1), path()), True))
+        for i, (s, before) in enumerate(clean):
+            out.append((f"clean {i}", Finding(s(), before(), one(" ", ".", "\n") + text(2), path()), False))
+        out.append(("clean path", Finding(secrets[0](), assign(), "\" " + text(2), one("tests/", "docs/", "examples/", "fixtures/")), False))
+    return out
+
+
+def held_out_forms(known: Dictionary, each: int = 40, least: float = 0.5) -> dict[str, tuple[bool, float]]:
+    """For each form whether it is of secrets, and the share judged right by a forest that learned from all others."""
+    found = example_forms(each)
+    x = np.array([features(f, known) for _, f, _ in found], float)
+    y, form = np.array([float(s) for _, _, s in found]), np.array([n for n, _, _ in found])
+    out = {}
+    for name in dict.fromkeys(form.tolist()):
+        own = form == name
+        p = grow(x[~own], y[~own]).probability(x[own])
+        out[name] = bool(y[own][0]), float(((p >= least) == (y[own] > 0)).mean())
     return out
 
 
@@ -252,12 +301,13 @@ def scan(df: DataFrame, forest: Forest, tokenizer: str, least: float = 0.5) -> D
     ``start`` counts code points; ``is_secret`` tells whether the forest's
     ``probability`` is at least ``least``.  Null and empty texts have no
     candidates, a null ``source`` is an empty path; repeated rows give their
-    findings each; a null ``doc_id`` is carried; other columns are ignored.
+    findings each; a null ``doc_id`` is carried; other columns are ignored; an empty
+    table gives no rows.
     """
     sent = df.sparkSession.sparkContext.broadcast(forest)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dictionary(tokenizer)
+        known = _worker_dictionary(tokenizer)
         for batch in batches:
             names, starts, found = [], [], []
             for name, text, path in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "source")), strict=True):
