@@ -256,7 +256,7 @@ def test_anchors(spark):
 
 def test_plan_modes_and_axes(spark, sf_dir):
     shown, t = fixtures.record_tables(spark, sf_dir)
-    seeds = written(records.seed_vectors(t["pictures"], t["source_raw"], t["previews"], shown), "seeds")
+    seeds = written(records.seed_vectors(t["pictures"], t["source_raw"], t["previews"]), "seeds")
     rows = written(planner.responses(records.measures(shown, t, embedded=False).where("photo_id < 80"), record_queries._models(spark)), "rows")
     only = planner.plan(rows, seeds, frozenset({"hsl"}))
     assert {r["key"].rstrip("RedOrangYlwGnAquBPpiMt")[:3] for r in only.settings.collect()} <= {"Sat", "Lum", "Hue"} and only.settings.count() > 0

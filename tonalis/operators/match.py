@@ -3,7 +3,9 @@
 A target is matched within the references of its own profile if there are any,
 else within all.  References stay with their profile, so targets and references
 are joined by an equality on the profile that serves; no pair of different pools
-is ever built.  A reference set is what a user marks by hand.
+is ever built.  A reference set is what a user marks by hand: up to ``FEW`` it is sent
+to all executors; a larger one is dealt by profile, the photos of each over
+``SALTS`` parts, so that no profile's photos meet in one task.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from ..config import CALIBRATION, Match
 
 FEATURES = ("rg", "bg", "median_l")
 ALL = "*"
+FEW, SALTS = 50_000, 32
 
 
 def scales(seeds: DataFrame, by: str = "pool") -> DataFrame:
@@ -46,7 +49,12 @@ def nearest(targets: DataFrame, seeds: DataFrame, how: Match = Match()) -> DataF
     served = sizes.select(F.col("pool").alias("own_pool"))
     chosen = targets.join(served, targets["profile"] == F.col("own_pool"), "left").withColumn("pool", F.coalesce("own_pool", F.lit(ALL))).drop("own_pool")
     sides = dealt.select("pool", F.col("photo_id").alias("seed_id"), *[F.col(c).alias(f"seed_{c}") for c in FEATURES]).join(sizes, "pool")
-    pairs = chosen.select("photo_id", "pool", *FEATURES).join(sides, "pool").withColumn("d", distance())
+    asked = chosen.select("photo_id", "pool", *FEATURES)
+    if seeds.limit(FEW + 1).count() <= FEW:
+        pairs = asked.join(F.broadcast(sides), "pool").withColumn("d", distance())
+    else:
+        salted = asked.withColumn("salt", F.pmod(F.xxhash64("photo_id"), F.lit(SALTS)).cast("int"))
+        pairs = salted.join(sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["pool", "salt"]).withColumn("d", distance())
     w = W.partitionBy("photo_id").orderBy("d", "seed_id")
     k = F.least(F.lit(how.most), F.greatest(F.lit(1), F.expr("pool_size div 2")))
     ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= how.most)

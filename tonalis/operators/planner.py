@@ -43,6 +43,14 @@ def responses(measures: DataFrame, models: DataFrame) -> DataFrame:
     return left.join(m, F.col("camera").eqNullSafe(F.col("_camera")) & F.col("model_profile").eqNullSafe(F.col("_model_profile")), "left").drop("_camera", "_model_profile")
 
 
+def series_response(measures: DataFrame, models: DataFrame) -> DataFrame:
+    """Measures with one response for all: that of the first camera that is known and of the most frequent profile among the settings, of equal ones the first by photo."""
+    profile = F.nullif(F.element_at("develop", "CameraProfile"), F.lit(""))
+    first = measures.agg(F.min_by("camera", F.when(F.col("camera").isNotNull(), F.col("photo_id"))).alias("c")).first()["c"]
+    mode = measures.where(profile.isNotNull()).groupBy(profile.alias("p")).agg(F.count("*").alias("n"), F.min("photo_id").alias("at")).orderBy(F.desc("n"), "at").first()
+    return responses(measures.withColumns({"camera": F.lit(first).cast("string"), "model_profile": F.lit(mode["p"] if mode else None).cast("string")}), models)
+
+
 def setting(name: str, default: float = 0.0) -> Column:
     """A number among the current settings; the default where it is missing or no number."""
     return F.coalesce(F.element_at("develop", name).try_cast("double"), F.lit(default))

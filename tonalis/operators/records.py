@@ -113,18 +113,18 @@ def misses(table: str, rows: DataFrame, wanted: DataFrame, force: bool = False)
     return wanted if force else fresh(table, rows, wanted).where("found IS NULL").select(wanted.columns)
 
 
-def seed_vectors(pictures_: DataFrame, source_raw: DataFrame, previews: DataFrame, develop: DataFrame) -> DataFrame:
+def seed_vectors(pictures_: DataFrame, source_raw: DataFrame, previews: DataFrame) -> DataFrame:
     """Reference photos with the features, settings and bands that matching needs.
 
     A mark without RAW measures, or without an as-shot ratio, gives none.  The
-    profile is that of the RAW, else the picture's; the settings are the current
-    ones (``photo_id``, ``develop`` map), read tolerantly.
+    profile is that of the RAW, else the picture's; the settings are those kept with
+    the picture, read tolerantly.
     """
     number = lambda key: F.element_at("develop", key).try_cast("double")
     raw = source_raw.where("asshot_rg IS NOT NULL").select("uuid", F.col("asshot_rg").alias("rg"), F.col("asshot_bg").alias("bg"), F.col("tone.median_l").alias("median_l"), "ev100", F.nullif("profile_capture", F.lit("")).alias("raw_profile"))
     seen = previews.select("uuid", F.col("sharp.tone").alias("preview_tone"), F.col("sharp.bands").alias("preview_bands"))
-    marked = pictures_.where("is_seed").select("uuid", F.nullif("profile_capture", F.lit("")).alias("own_profile"))
-    joined = marked.join(raw, "uuid").join(seen, "uuid", "left").join(develop.select(F.col("photo_id").alias("uuid"), "develop"), "uuid", "left")
+    marked = pictures_.where("is_seed").select("uuid", F.nullif("profile_capture", F.lit("")).alias("own_profile"), "develop")
+    joined = marked.join(raw, "uuid").join(seen, "uuid", "left")
     return joined.select(F.col("uuid").alias("photo_id"), "rg", "bg", "median_l", "ev100", F.coalesce("raw_profile", "own_profile").alias("profile"), number("Temperature").alias("temperature"), number("Tint").alias("tint"), *[number(key).alias(name) for name, key in CALIBRATION], "preview_tone", "preview_bands")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars
-from ..operators import compare, measure
+from ..operators import compare, measure, planes
 from ..sources import catalog
 from . import fixtures as fx, oracle as o
 from .photo_queries import query, r6
@@ -16,7 +16,7 @@ _BOTH = (o.PX, o.LAB, o.SH, o.SCOPE, o.CENTRES, o.bands("sh", "bd"), o.PT, o.PTL
 
 
 def _bands(spark: SparkSession, d: str, camera: bool) -> DataFrame:
-    return measure.bands(measure.analysed(fx.camera_pixels(spark, d) if camera else fx.pixels(spark, d)))
+    return planes.banded(planes.scopes(planes.measured(fx.pictures(spark, d, camera))))
 
 
 @query(o.with_(*_BOTH) + "SELECT c.photo_id, c.band, round(c.median_chroma-r.median_chroma, 6)+0.0 AS dchroma, round(c.median_sat-r.median_sat, 6)+0.0 AS dsat, round(c.median_hue-r.median_hue, 6)+0.0 AS dhue, round(c.median_l-r.median_l, 6)+0.0 AS dl FROM bt c JOIN bd r ON c.photo_id=r.photo_id AND c.band=r.band AND c.scope='sharp' AND r.scope='sharp'")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import BANDS, CALIBRATION
 from ..functions import color, scalars
-from ..operators import match, measure, planners
+from ..operators import match, measure, planes, planners
 from . import fixtures as fx, oracle as o
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,21 +39,38 @@ def _seen(spark: SparkSession, d: str) -> DataFrame:
     return measure.analysed(fx.pixels(spark, d))
 
 
+def _scopes(spark: SparkSession, d: str, camera: bool = False) -> DataFrame:
+    """Statistics of whole pictures, measured in one pass without a shuffle."""
+    return planes.scopes(planes.measured(fx.pictures(spark, d, camera)))
+
+
 @query(o.with_(o.PX, o.LAB, o.SH, o.SCOPE, o.tone("sh", "t")) + f"SELECT photo_id, scope, {o.rounded(*TONE)} FROM t")
 def tone_dual(spark: SparkSession, d: str) -> DataFrame:
     """Tone statistics, whole frame and sharp zone."""
-    return r6(measure.tone(_seen(spark, d)), *TONE)
+    return r6(_scopes(spark, d).select("photo_id", "scope", "r.tone.*"), *TONE)
 
 
 @query(o.with_(o.PX, o.LAB, o.SH, o.SCOPE, o.neutral("sh", "t")) + f"SELECT photo_id, scope, {o.rounded(*NEUTRAL)}, n_neutral FROM t")
 def neutral_dual(spark: SparkSession, d: str) -> DataFrame:
     """Neutral cast, whole frame and sharp zone."""
-    return r6(measure.neutral(_seen(spark, d)), *NEUTRAL)
+    return r6(_scopes(spark, d).select("photo_id", "scope", "r.neutral.*"), *NEUTRAL)
 
 
 @query(o.with_(o.PX, o.LAB, o.SH, o.SCOPE, o.CENTRES, o.bands("sh", "t")) + f"SELECT photo_id, band_no, band, scope, {o.rounded(*BAND)} FROM t")
 def bands_dual(spark: SparkSession, d: str) -> DataFrame:
     """Hue bands, whole frame and sharp zone."""
+    return r6(planes.banded(_scopes(spark, d)), *BAND)
+
+
+@query(o.with_(o.PX, o.LAB, o.SH, o.SCOPE, o.tone("sh", "t")) + f"SELECT photo_id, scope, {o.rounded(*TONE)} FROM t")
+def tone_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same tone statistics from pixels in rows."""
+    return r6(measure.tone(_seen(spark, d)), *TONE)
+
+
+@query(o.with_(o.PX, o.LAB, o.SH, o.SCOPE, o.CENTRES, o.bands("sh", "t")) + f"SELECT photo_id, band_no, band, scope, {o.rounded(*BAND)} FROM t")
+def bands_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same hue bands from pixels in rows."""
     return r6(measure.bands(_seen(spark, d)), *BAND)
 
 
@@ -189,7 +206,7 @@ TARGET_BANDS = f"tb AS (SELECT k.photo_id, band, {', '.join(_BW(c) for c in ('fr
 def knn_target_bands(spark: SparkSession, d: str) -> DataFrame:
     """Weighted bands of each photo's references."""
     near = _matches(spark, d)[2]
-    return r6(match.target_bands(near, measure.bands(_seen(spark, d)).where("scope = 'global'")), *BAND)
+    return r6(match.target_bands(near, planes.banded(_scopes(spark, d)).where("scope = 'global'")), *BAND)
 
 
 # A response for each profile: calibrated, uncalibrated, singular.
@@ -217,7 +234,7 @@ def response_slope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tone(spark: SparkSession, d: str, camera: bool = False) -> DataFrame:
-    return measure.tone(measure.analysed(fx.camera_pixels(spark, d) if camera else fx.pixels(spark, d))).where("scope = 'global'").drop("scope")
+    return _scopes(spark, d, camera).where("scope = 'global'").select("photo_id", "r.tone.*")
 
 
 _EV = "CASE WHEN s > 0 THEN s*CASE WHEN clipped_hi <= 0.02 THEN 1 ELSE greatest(0, 1-(clipped_hi-0.02e0)/0.02e0) END WHEN s < 0 THEN s*CASE WHEN clipped_lo <= 0.02 THEN 1 ELSE greatest(0, 1-(clipped_lo-0.02e0)/0.02e0) END ELSE s END"
@@ -251,9 +268,9 @@ _LONG_WB = "SELECT photo_id, unnest(['Temperature', 'Tint']) AS key, unnest([rou
     "w AS (SELECT photo_id, least(12000, greatest(2000, temperature+greatest(-600, least(600, dt)))) AS temp, least(150, greatest(-150, tint+greatest(-10, least(10, dn)))) AS tint FROM f)") + _LONG_WB)
 def plan_wb_embedded(spark: SparkSession, d: str) -> DataFrame:
     """White balance against the camera's own picture."""
-    cast = lambda px, p: measure.neutral(measure.analysed(px)).where("scope = 'global'").select("photo_id", F.col("a_bias").alias(f"{p}_a"), F.col("b_bias").alias(f"{p}_b"), F.col("neutral_frac").alias(f"{p}_frac"))
+    cast = lambda camera, p: _scopes(spark, d, camera).where("scope = 'global'").select("photo_id", F.col("r.neutral.a_bias").alias(f"{p}_a"), F.col("r.neutral.b_bias").alias(f"{p}_b"), F.col("r.neutral.neutral_frac").alias(f"{p}_frac"))
     photos = responses(fx.photos(spark, d).where("NOT is_seed").select("photo_id", "profile", F.col("temperature").alias("temp"), "tint"))
-    return planners.white_balance_embedded(photos.join(cast(fx.pixels(spark, d), "n"), "photo_id").join(cast(fx.camera_pixels(spark, d), "t"), "photo_id"))
+    return planners.white_balance_embedded(photos.join(cast(False, "n"), "photo_id").join(cast(True, "t"), "photo_id"))
 
 
 @query(o.with_(o.PX, o.LAB, o.SH, o.SCOPE, o.neutral("sh", "n"), o.PHOTO, o.KNN, o.TARGET, RESPONSE,
@@ -262,7 +279,7 @@ def plan_wb_embedded(spark: SparkSession, d: str) -> DataFrame:
 def plan_wb_seeds(spark: SparkSession, d: str) -> DataFrame:
     """White balance from the references, refined by the present cast."""
     wanted, seeds, near = _matches(spark, d)
-    cast = measure.neutral(_seen(spark, d)).where("scope = 'global'").drop("scope")
+    cast = _scopes(spark, d).where("scope = 'global'").select("photo_id", "r.neutral.*")
     return planners.white_balance_seeds(responses(wanted.select("photo_id", "profile")).join(match.targets(near, seeds).select("photo_id", "temperature", "tint"), "photo_id").join(cast, "photo_id"))
 
 
@@ -277,12 +294,12 @@ SELECT * FROM (SELECT photo_id, unnest(['SaturationAdjustment' || band, 'Luminan
     "h AS (SELECT b.*, CASE WHEN t.frac >= 0.01 THEN t.median_chroma END AS t_chroma, CASE WHEN t.frac >= 0.01 THEN t.median_l END AS t_l, CASE WHEN t.frac >= 0.01 THEN t.median_hue END AS t_hue, CASE WHEN w.frac >= 0.01 THEN w.sat_clip_frac >= 0.05 END AS raw_oversat, 10.0e0 AS cap, 8.0e0 AS turn, g FROM bd b JOIN bt t ON t.photo_id=b.photo_id AND t.band=b.band AND t.scope='global' JOIN bt w ON w.photo_id=b.photo_id AND w.band=b.band AND w.scope='sharp' JOIN photo p ON p.photo_id=b.photo_id JOIN resp r ON r.profile=p.profile WHERE b.scope='global' AND NOT is_seed)", _HSL))
 def plan_hsl_embedded(spark: SparkSession, d: str) -> DataFrame:
     """Colour bands towards the camera's own picture."""
-    camera = measure.bands(measure.analysed(fx.camera_pixels(spark, d)))
+    camera = planes.banded(_scopes(spark, d, camera=True))
     reliable = F.col("frac") >= 0.01
     want = camera.where("scope = 'global'").select("photo_id", "band", *[F.when(reliable, F.col(c)).alias(t) for c, t in (("median_chroma", "t_chroma"), ("median_l", "t_l"), ("median_hue", "t_hue"))])
     raw = camera.where("scope = 'sharp'").select("photo_id", "band", F.when(reliable, F.col("sat_clip_frac") >= 0.05).alias("raw_oversat"))
     photos = responses(fx.photos(spark, d).where("NOT is_seed").select("photo_id", "profile"))
-    rows = measure.bands(_seen(spark, d)).where("scope = 'global'").join(want, ["photo_id", "band"]).join(raw, ["photo_id", "band"]).join(photos, "photo_id")
+    rows = planes.banded(_scopes(spark, d)).where("scope = 'global'").join(want, ["photo_id", "band"]).join(raw, ["photo_id", "band"]).join(photos, "photo_id")
     return planners.bands(rows.withColumn("embedded", F.lit(True)))
 
 
@@ -290,7 +307,7 @@ def plan_hsl_embedded(spark: SparkSession, d: str) -> DataFrame:
     "h AS (SELECT b.*, t.median_chroma AS t_chroma, t.median_l AS t_l, t.median_hue AS t_hue, CASE WHEN w.frac >= 0.01 THEN w.sat_clip_frac >= 0.05 END AS raw_oversat, 20.0e0 AS cap, 15.0e0 AS turn, g FROM bd b JOIN tband t ON t.photo_id=b.photo_id AND t.band=b.band JOIN bd w ON w.photo_id=b.photo_id AND w.band=b.band AND w.scope='sharp' JOIN photo p ON p.photo_id=b.photo_id JOIN resp r ON r.profile=p.profile WHERE b.scope='global')", _HSL))
 def plan_hsl_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Colour bands towards the references."""
-    seen = measure.bands(_seen(spark, d))
+    seen = planes.banded(_scopes(spark, d))
     here = seen.where("scope = 'global'")
     wanted, _, near = _matches(spark, d)
     want = match.target_bands(near, here).select("photo_id", "band", F.col("median_chroma").alias("t_chroma"), F.col("median_l").alias("t_l"), F.col("median_hue").alias("t_hue"))
@@ -315,7 +332,7 @@ def plan_calibration(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT *, sqrt(pow(avg(cos(radians(median_hue))) OVER (PARTITION BY band), 2)+pow(avg(sin(radians(median_hue))) OVER (PARTITION BY band), 2)) AS r FROM bd WHERE scope='global' AND frac >= 0.01) GROUP BY band, r""")
 def hsl_series_report(spark: SparkSession, d: str) -> DataFrame:
     """Each band over all photos, and whether its saturation should be looked at."""
-    rows = measure.bands(_seen(spark, d)).where("scope = 'global' AND frac >= 0.01")
+    rows = planes.banded(_scopes(spark, d)).where("scope = 'global' AND frac >= 0.01")
     hue = F.radians("median_hue")
     spread = F.sqrt(F.pow(F.avg(F.cos(hue)), 2) + F.pow(F.avg(F.sin(hue)), 2))
     std = F.when(F.col("r") <= 1e-9, F.lit(180.0)).otherwise(F.degrees(F.sqrt(F.greatest(F.lit(0.0), F.log("r") * -2.0))))

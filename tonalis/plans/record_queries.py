@@ -122,7 +122,7 @@ def measures_embedded(spark: SparkSession, d: str) -> DataFrame:
 def seed_pool(spark: SparkSession, d: str) -> DataFrame:
     """References that can be matched: marked, and with RAW measures."""
     shown, t = fx.record_tables(spark, d)
-    found = records.seed_vectors(t["pictures"], t["source_raw"], t["previews"], shown)
+    found = records.seed_vectors(t["pictures"], t["source_raw"], t["previews"])
     return r6(found.select("photo_id", "rg", "profile", "temperature", "tint", "shadow_tint"), "rg")
 
 
@@ -198,7 +198,7 @@ def _models(spark: SparkSession) -> DataFrame:
 
 def _plan(spark: SparkSession, d: str, forced: bool) -> planner.Planned:
     shown, t = fx.record_tables(spark, d)
-    seeds = written(records.seed_vectors(t["pictures"], t["source_raw"], t["previews"], shown), "seed-vectors")
+    seeds = written(records.seed_vectors(t["pictures"], t["source_raw"], t["previews"]), "seed-vectors")
     rows = planner.responses(records.measures(shown, t, embedded=forced), _models(spark))
     return planner.plan(written(rows, "measures"), seeds, forced_embedded=forced)
 

@@ -182,18 +182,6 @@ def apply_report(spark: SparkSession, d: str) -> DataFrame:
     return store.apply_report(wanted, T(spark, d, "customer").where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("photo_id")))
 
 
-_NODES = "SELECT r_regionkey + 1000 AS id, CAST(NULL AS INTEGER) AS parent, r_name AS name FROM region UNION ALL SELECT n_nationkey + 2000, n_regionkey + 1000, n_name FROM nation UNION ALL SELECT CAST(s_suppkey + 10000 AS INTEGER), s_nationkey + 2000, s_name FROM supplier"
-
-
-@query(f"WITH RECURSIVE nodes AS ({_NODES}), tree AS (SELECT id, name, 0 AS depth, name AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, n.name, t.depth + 1, t.path || '/' || n.name FROM nodes n JOIN tree t ON n.parent = t.id) SELECT id, name, depth, path FROM tree")
-def collection_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Collections with their paths, by a recursive query."""
-    for name in ("region", "nation", "supplier"):
-        T(spark, d, name).createOrReplaceTempView(f"collection_{name}")
-    nodes = _NODES.replace("FROM region", "FROM collection_region").replace("FROM nation", "FROM collection_nation").replace("FROM supplier", "FROM collection_supplier").replace("AS INTEGER", "AS INT")
-    return spark.sql(f"WITH RECURSIVE nodes AS ({nodes}), tree AS (SELECT id, name, 0 AS depth, CAST(name AS STRING) AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, n.name, t.depth + 1, concat(t.path, '/', n.name) FROM nodes n JOIN tree t ON n.parent = t.id) SELECT id, name, depth, path FROM tree")
-
-
 @query("SELECT o_custkey AS photo_id, array_to_string(list_sort(list_distinct(list_filter(list_concat(list(o_orderpriority), ['new', 'x']), lambda k: k NOT IN ('x', '5-LOW')))), '|') AS keywords FROM orders GROUP BY 1")
 def keyword_overlay(spark: SparkSession, d: str) -> DataFrame:
     """Keywords with some added and some removed."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import bridge_queries, more_queries, photo_queries, record_queries, study_queries, table_queries  # noqa: F401  the others register into photo_queries
+from .plans import api_queries, bridge_queries, more_queries, photo_queries, record_queries, study_queries, table_queries  # noqa: F401  the others register into photo_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
