@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -18,10 +19,25 @@ BATCH_BYTES = "8m"
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, barrier: bool = False) -> DataFrame:
-    """``mapInArrow`` with batches bounded in bytes, not only in rows."""
+    """``mapInArrow`` with batches bounded in bytes, not only in rows; a worker gives freed memory back when a task ends."""
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(work, schema, barrier)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(bounded, schema, barrier)
+
+
+def _give_back() -> None:
+    """Returns the free memory of Arrow and of the C library, where that can, to the system; workers live for many tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
@@ -103,12 +119,15 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, size: str, total: i
     """``left`` joined with the columns of ``right`` but ``size``, for the keys that both have.
 
     ``right`` has one row for each ``key`` and in ``size`` how many of the
-    ``total`` rows of ``left`` have it.  Hot keys are sent to all executors, at
-    most ``1 / HOT`` rows; the others meet in a shuffle, so no task gets a hot
-    key's rows.
+    ``total`` rows of ``left`` have it.  Hot keys, if there are any, are sent to
+    all executors, at most ``1 / HOT`` rows; the others meet in a shuffle, so no
+    task gets a hot key's rows.
     """
-    hot = right.where(F.col(size) > total * HOT).drop(size)
-    rest = right.where(F.col(size) <= total * HOT).drop(size)
+    known = saved(right, "keyed")
+    hot = known.where(F.col(size) > total * HOT).drop(size)
+    if hot.isEmpty():
+        return left.join(known.drop(size), key)
+    rest = known.where(F.col(size) <= total * HOT).drop(size)
     cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return cold.unionByName(left.join(F.broadcast(hot), key))
 

@@ -8,7 +8,9 @@ A unit has one update gate: ``h += f * (c - h)`` with ``f = sigmoid(...)`` and
 ``c = tanh(...)`` of the byte and the last state.  Weights are learned on the
 driver, in numpy, by backpropagation through time, from a bounded sample:
 ``SAMPLE_DOCS`` documents a language, of at most ``MOST_LANGS`` languages, and
-``SAMPLE_CHARS`` characters of each.  As many other documents of each language set
+``SAMPLE_CHARS`` characters of each.  A class of its own, which is never a result,
+learns what is no language: windows of the same sample with their bytes shuffled, or
+each byte value replaced by another.  As many other documents of each language set
 the probability from which on a text counts as recognised.
 """
 
@@ -49,8 +51,8 @@ class Network:
     langs: list[str]
     table: np.ndarray  # 2 x 256 x 2 HIDDEN
     recur: np.ndarray  # 2 x HIDDEN x 2 HIDDEN
-    out: np.ndarray  # 2 HIDDEN x langs
-    bias: np.ndarray  # langs
+    out: np.ndarray  # 2 HIDDEN x langs, and one more for what is no language
+    bias: np.ndarray  # as many
     #: Probability of its language from which on a text is recognised.
     least: float = 0.0
 
@@ -77,13 +79,13 @@ class Network:
         return out
 
     def positions(self, windows: np.ndarray) -> np.ndarray:
-        """Probabilities of the languages at every position: time x batch x langs."""
+        """Probabilities of the languages, and of none, at every position: time x batch x classes."""
         return softmax(self.states(windows) @ self.out + self.bias)
 
     def label_positions(self, text: str) -> list[str]:
         """The language of each byte of ``text``."""
         data, _, sizes = windowed([text])
-        p = self.positions(np.ascontiguousarray(data.T)).transpose(1, 0, 2).reshape(-1, len(self.langs))[: int(sizes[0])]
+        p = self.positions(np.ascontiguousarray(data.T)).transpose(1, 0, 2).reshape(-1, len(self.bias))[: int(sizes[0]), : len(self.langs)]
         return [self.langs[i] for i in p.argmax(axis=1).tolist()]
 
 
@@ -103,9 +105,9 @@ def windowed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pooled(network: Network, texts: list[str]) -> np.ndarray:
-    """Mean probabilities of each text, over all its positions; texts aren't empty."""
+    """Mean probabilities of the languages for each text, over all its positions; texts aren't empty."""
     windows, owner, sizes = windowed(texts)
-    total = np.zeros((len(texts), len(network.langs)))
+    total = np.zeros((len(texts), len(network.bias)))
     last = np.cumsum(-(-sizes // WINDOW)) - 1
     filled = np.full(len(windows), WINDOW)
     filled[last] = sizes - (-(-sizes // WINDOW) - 1) * WINDOW
@@ -118,14 +120,15 @@ def pooled(network: Network, texts: list[str]) -> np.ndarray:
         sums = p.sum(axis=0, dtype=np.float64)
         for k in range(total.shape[1]):
             total[:, k] += np.bincount(owner[part], sums[:, k], len(texts))
-    return total / sizes[:, None]
+    return total[:, : len(network.langs)] / sizes[:, None]
 
 
 def train(langs: list[str], windows: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network:
     """Learns from windows (batch x time bytes) whose every position has the window's label; Adam on cross-entropy."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-    net = Network(langs, draw(2, 256, 2 * HIDDEN, scale=0.3), draw(2, HIDDEN, 2 * HIDDEN, scale=0.2), draw(2 * HIDDEN, len(langs), scale=0.3), np.zeros(len(langs), np.float32))
+    classes = int(labels.max()) + 1
+    net = Network(langs, draw(2, 256, 2 * HIDDEN, scale=0.3), draw(2, HIDDEN, 2 * HIDDEN, scale=0.2), draw(2 * HIDDEN, classes, scale=0.3), np.zeros(classes, np.float32))
     weights = [net.table, net.recur, net.out, net.bias]
     m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     order = rng.permutation(len(windows))
@@ -170,6 +173,20 @@ def gradients(net: Network, x: np.ndarray, labels: np.ndarray) -> list[np.ndarra
     return [g_table, g_recur, g_out, g_bias]
 
 
+def no_language(windows: np.ndarray, n: int, seed: int = 3) -> np.ndarray:
+    """``n`` windows that are no language, made of ``windows``: half have their bytes shuffled, half have each byte value replaced by another, not the space, of the whole range or of one stretch of it."""
+    rng = np.random.default_rng(seed)
+    out = windows[rng.integers(0, len(windows), n)].copy()
+    half = n // 2
+    out[:half] = rng.permuted(out[:half], axis=1)
+    for i in range(half, n):
+        low, size = (0, 256) if i % 2 else (int(rng.integers(1, 225)), 32)
+        table = (low + rng.permutation(256) % size).astype(np.uint8)
+        table[[0, 32]] = [0, 32]
+        out[i] = table[out[i]]
+    return out
+
+
 def held_out(doc_id: Column | str, parts: int = 4, part: int = 2) -> Column:
     """Whether a document is kept from learning; false where it has no id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(False))
@@ -210,7 +227,9 @@ def learn(df: DataFrame) -> Network | None:
             labels.append(np.full(int(full.sum()), k))
     if not windows:
         return None
-    network = train(langs, np.concatenate(windows), np.concatenate(labels))
+    x, y = np.concatenate(windows), np.concatenate(labels)
+    other = no_language(x, -(-len(x) // len(langs)))
+    network = train(langs, np.concatenate([x, other]), np.concatenate([y, np.full(len(other), len(langs))]))
     judged = [t for t in judged if has_letter(t)]
     network.least = max(0.0, float(pooled(network, judged).max(axis=1).min()) - MARGIN) if judged else 0.0
     return network
