@@ -16,6 +16,7 @@ import __spark_entry__
 from tonalis import registry
 from tonalis.functions import color, scalars
 from tonalis.operators import match, measure, planes, planner, planners, records, sharp_zone, store, studies
+from tonalis.operators.quantiles import quantiles
 from tonalis.plans import fixtures, record_queries
 from tonalis.session import written
 from tonalis.sources import catalog, images
@@ -274,6 +275,27 @@ def test_plan_modes_and_axes(spark, sf_dir):
     assert [r["photo_id"] for r in head.collect()] == [0, 1, 2] and more == 2
 
 
+def test_quantiles_of_large_groups(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=2000), "b": np.repeat([1.0, 5.0], [300, 1]), "c": np.array([7.0]), "d": 10.0 ** rng.uniform(-300, 300, 500), None: rng.integers(0, 3, 400).astype(float)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("a", float("nan")), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    shares = (0.0, 0.05, 0.5, 0.9, 1.0)
+    for limit in (0, 10**9):
+        got = {r["g"]: (r["n"], r["q"]) for r in quantiles(df, "g", "v", shares, limit).collect()}
+        assert got.keys() == values.keys()
+        for k, v in values.items():
+            assert got[k][0] == len(v) and np.allclose(got[k][1], np.quantile(v, shares), rtol=1e-9)
+
+
+def test_many_references_are_dealt_out(spark, sf_dir, monkeypatch):
+    photos = fixtures.photos(spark, sf_dir).where("photo_id < 200")
+    near = lambda: sorted(map(tuple, match.nearest(photos.where("NOT is_seed"), photos.where("is_seed")).collect()))
+    few = near()
+    monkeypatch.setattr(match, "FEW", 3)
+    assert near() == few
+
+
 def test_csv_rows_and_last_features(spark, tmp_path):
     (tmp_path / "f.csv").write_text("photo,a,b\nx,9,1\ny,1,z\nx,2,3\n")
     path = str(tmp_path / "f.csv")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.color import srgb_to_linear, weighted
+from .quantiles import quantiles
 
 
 def band_deltas(camera: DataFrame, raw: DataFrame) -> DataFrame:
@@ -42,8 +43,10 @@ def jpeg_metrics(pixels: DataFrame) -> DataFrame:
 
 def warmth(metrics: DataFrame) -> DataFrame:
     """How a series' warmth is spread, and whether it holds together."""
-    q = F.percentile("gr", F.array(F.lit(0.1), F.lit(0.9)))
-    found = metrics.agg(F.count("*").alias("n"), F.median("gr").alias("gr"), F.stddev_pop("gr").alias("sd"), q[0].alias("p10"), q[1].alias("p90"), (F.avg((F.col("gr") < 0.9).cast("double")) * 100.0).alias("warm"))
+    rows = metrics.select("gr", F.lit(0).alias("series"))
+    q = quantiles(rows, "series", "gr", (0.5, 0.1, 0.9)).select("series", F.col("q")[0].alias("gr"), F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"))
+    rest = rows.groupBy("series").agg(F.count("*").alias("n"), F.stddev_pop("gr").alias("sd"), (F.avg((F.col("gr") < 0.9).cast("double")) * 100.0).alias("warm"))
+    found = rest.join(q, "series").drop("series")
     return found.withColumn("coherent", F.col("sd") < 0.05)
 
 

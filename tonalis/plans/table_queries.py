@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars
-from ..operators import store, studies
+from ..operators import quantiles, store, studies
 from ..sources import images
 from . import fixtures as fx, oracle as o
 from .photo_queries import query, r6
@@ -109,9 +109,10 @@ def constant_keys(spark: SparkSession, d: str) -> DataFrame:
 @query(o.with_(o.PX, o.LAB, "f AS (SELECT photo_id, median(l) AS l FROM lab GROUP BY 1), s AS (SELECT median(l) AS m, stddev_pop(l) AS sd, quantile_cont(l, 0.05) AS p05, quantile_cont(l, 0.95) AS p95 FROM f)") + "SELECT photo_id, round(l - m, 6) + 0.0 AS delta, round(m, 6) AS median_l, round(sd, 6) AS std, round(p05, 6) AS p05, round(p95, 6) AS p95 FROM f, s ORDER BY abs(round(l - m, 6)) DESC, photo_id LIMIT 10")
 def series_deviation(spark: SparkSession, d: str) -> DataFrame:
     """The ten photos farthest from their series."""
-    rows = fx.photos(spark, d).select("photo_id", "median_l")
-    whole = rows.agg(F.median("median_l").alias("m"), F.stddev_pop("median_l").alias("std"), F.percentile("median_l", F.lit(0.05)).alias("p05"), F.percentile("median_l", F.lit(0.95)).alias("p95"))
-    out = rows.join(F.broadcast(whole)).select("photo_id", (F.col("median_l") - F.col("m")).alias("delta"), F.col("m").alias("median_l"), "std", "p05", "p95")
+    rows = fx.photos(spark, d).select("photo_id", "median_l", F.lit(0).alias("series"))
+    q = quantiles.quantiles(rows, "series", "median_l", (0.5, 0.05, 0.95)).select("series", F.col("q")[0].alias("m"), F.col("q")[1].alias("p05"), F.col("q")[2].alias("p95"))
+    whole = rows.groupBy("series").agg(F.stddev_pop("median_l").alias("std")).join(q, "series")
+    out = rows.join(F.broadcast(whole), "series").select("photo_id", (F.col("median_l") - F.col("m")).alias("delta"), F.col("m").alias("median_l"), "std", "p05", "p95")
     return r6(out, "delta", "median_l", "std", "p05", "p95").orderBy(F.abs("delta").desc(), "photo_id").limit(10)
 
 
@@ -119,8 +120,8 @@ def series_deviation(spark: SparkSession, d: str) -> DataFrame:
 def sigma_stops(spark: SparkSession, d: str) -> DataFrame:
     """Spread in stops around the median."""
     rows = T(spark, d, "lineitem").select(F.col("l_returnflag").alias("scope"), F.col("l_extendedprice").alias("v"))
-    middle = rows.groupBy("scope").agg(F.median("v").alias("m"))
-    return r6(rows.join(middle, "scope").groupBy("scope").agg(F.stddev_pop(F.log2(F.col("v") / F.col("m"))).alias("sigma")), "sigma")
+    middle = quantiles.quantiles(rows, "scope", "v", (0.5,)).select("scope", F.col("q")[0].alias("m"))
+    return r6(rows.join(F.broadcast(middle), "scope").groupBy("scope").agg(F.stddev_pop(F.log2(F.col("v") / F.col("m"))).alias("sigma")), "sigma")
 
 
 _XY = "(SELECT c_nationkey AS k, o_totalprice AS y, c_acctbal AS x FROM orders JOIN customer ON c_custkey = o_custkey)"
