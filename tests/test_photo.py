@@ -19,7 +19,7 @@ from tonalis.operators import match, measure, planes, planner, planners, records
 from tonalis.operators.quantiles import quantiles
 from tonalis.plans import fixtures, record_queries
 from tonalis.session import written
-from tonalis.sources import catalog, images
+from tonalis.sources import catalog, images, previews
 from tonalis.sources.sqlite import SqliteSource
 from tonalis.streaming import bridge
 from tonalis.streaming.queue import Ledger
@@ -275,6 +275,36 @@ def test_plan_modes_and_axes(spark, sf_dir):
     assert [r["photo_id"] for r in head.collect()] == [0, 1, 2] and more == 2
 
 
+def test_catalogue_lookups(spark, tmp_path):
+    for name in ("b/two.lrcat", "a/one.lrcat", "a/other.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert [os.path.basename(r["path"]) for r in catalog.catalogs(spark, str(tmp_path)).collect()] == ["one.lrcat", "two.lrcat"]
+    files = spark.createDataFrame([("p",), ("p",), ("q",)], "baseName string")
+    assert sorted(r["photo"] for r in catalog.base_names(files).collect()) == ["p", "q"]
+    ids = spark.createDataFrame([("g1",), ("g2",)], "id_global string")
+    assert {r["id_global"]: r["id_local"] for r in catalog.local_ids(ids, spark.createDataFrame([("g1", 7)], "id_global string, id_local long")).collect()} == {"g1": 7, "g2": None}
+    row = one(spark, *catalog.bundle(F.lit("/x/Cat.lrcat")), images.preview_folder(F.lit("ABCDEF")))
+    assert tuple(row) == ("/x/Cat Previews.lrdata", "/x/Cat Smart Previews.lrdata", "A/ABCD")
+
+
+def test_studies_need_enough_rows(spark):
+    features = spark.range(60).select(F.col("id").alias("photo"), (F.col("id") * 1.0).alias("rg"))
+    develop = features.select("photo", F.when(F.col("photo") < 55, F.lit(5000.0)).alias("temperature"))
+    assert studies.with_features(features, develop, "photo", ("temperature",)).count() == 55
+    assert studies.with_features(features.where("photo < 50"), develop.where("photo > 5"), "photo", ("temperature",)).count() == 0
+    assert one(spark, studies.camera_slope(F.lit("x")), studies.exposure_follows(F.lit("artistic")), studies.predicted_temperature(F.lit(2450.0), F.lit(0.0), F.lit(9.0)))[:] == (2450.0, False, 12000.0)
+    assert [round(one(spark, studies.hue_near(F.lit(h), F.lit(350.0)))[0], 9) for h in (350.0, 10.0, 171.0, 169.0)] == [350.0, 370.0, 171.0, 529.0]
+
+
+def test_preview_with_raw_and_smart(spark):
+    paths = spark.createDataFrame([("g2", "/r/b.ARW"), ("g1", "/r/a.ARW"), ("g3", "/r/c.ARW"), ("g4", "/r/d.ARW")], "id_global string, path string")
+    smart = spark.createDataFrame([("g1", "x"), ("g2", "x"), ("g3", None), ("g4", "x")], "id_global string, path string")
+    got = previews.with_raw_and_smart(paths, paths.where("id_global <> 'g4'"), smart)
+    assert [tuple(r) for r in got.collect()] == [("a", "g1", "/r/a.ARW"), ("b", "g2", "/r/b.ARW")]
+    assert previews.with_raw_and_smart(paths, paths, smart, 1).count() == 1
+
+
 def test_quantiles_of_large_groups(spark):
     rng = np.random.default_rng(2)
     values = {"a": rng.normal(size=2000), "b": np.repeat([1.0, 5.0], [300, 1]), "c": np.array([7.0]), "d": 10.0 ** rng.uniform(-300, 300, 500), None: rng.integers(0, 3, 400).astype(float)}

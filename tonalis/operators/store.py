@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import written
+
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key with the largest ``order``; an aggregate, so one key's many versions meet partly summed."""
@@ -46,15 +48,26 @@ def chunked(df: DataFrame, key: str, size: int) -> DataFrame:
     """Adds ``chunk``: rows in the order of ``key``, ``size`` to each.
 
     Places are counted within sorted ranges and moved by the ranges' sizes, so
-    no range but the number of ranges meets in one task.
+    no range but the number of ranges meets in one task.  The ranges are written
+    once, as both counts have to see the same ones.
     """
-    dealt = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_start", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")
     within = dealt.withColumn("_place", F.row_number().over(W.partitionBy("_part").orderBy(key)))
     return within.join(starts, "_part").withColumn("chunk", F.floor((F.col("_start") + F.col("_place") - 1) / size)).drop("_part", "_place", "_start")
 
 
+def ordered_union(lists: dict[str, DataFrame]) -> DataFrame:
+    """The distinct ``path``s of several lists (``path``, and ``at``, its place in the list), each with its ``place`` by where it first comes, list by list, and a flag for each list that names it."""
+    parts = [df.select("path", F.struct(F.lit(i).alias("l"), F.col("at")).alias("at"), *[F.lit(n == name).alias(n) for n in lists]) for i, (name, df) in enumerate(lists.items())]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    merged = both.groupBy("path").agg(F.min("at").alias("at"), *[F.bool_or(n).alias(n) for n in lists])
+    return chunked(merged, "at", 1).select("path", *lists, (F.col("chunk") + 1).alias("place"))
+
+
 def keywords(old, add, remove):  # noqa: ANN001, ANN201
     """Keyword set with names added, then removed, in order."""
     return F.array_sort(F.array_except(F.array_union(old, add), remove))

@@ -198,12 +198,12 @@ def preset_overlay(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "embeddings").select(F.col("vec_id").alias("photo_id"), F.explode(store.overlay(now, preset)).alias("key", "value"))
 
 
-@query("SELECT path, bool_or(raw) AS need_raw, bool_or(emb) AS need_emb FROM (SELECT c_custkey AS path, true AS raw, false AS emb FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT o_custkey, false, true FROM orders) GROUP BY 1")
+@query("SELECT path, bool_or(raw) AS need_raw, bool_or(emb) AS need_emb, row_number() OVER (ORDER BY min(struct_pack(l := l, n := n))) AS place FROM (SELECT c_custkey AS path, true AS raw, false AS emb, 0 AS l, -c_custkey AS n FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT o_custkey, false, true, 1, o_orderkey FROM orders) GROUP BY 1")
 def path_union(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of two lists and what each is wanted for."""
-    raw = T(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("path"), F.lit(True).alias("raw"), F.lit(False).alias("emb"))
-    both = raw.unionByName(T(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.lit(False).alias("raw"), F.lit(True).alias("emb")))
-    return both.groupBy("path").agg(F.bool_or("raw").alias("need_raw"), F.bool_or("emb").alias("need_emb"))
+    """Paths of two lists in the order in which they first come, and what each is wanted for."""
+    raw = T(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("path"), (-F.col("c_custkey")).alias("at"))
+    return store.ordered_union({"need_raw": raw, "need_emb": T(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("at"))})
+
 
 
 _TEXTS = ['s = { Exposure2012 = 0.5, Temperature = 5200, WhiteBalance = "Custom", Look = { Name = "Vivid", Amount = 1 } }', "Exposure2012 = 1, Exposure2012 = -2.25, EnableCalibration = true", "nothing here", ""]
