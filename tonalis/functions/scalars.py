@@ -114,3 +114,23 @@ def circular_mean(sines: Column, cosines: Column) -> Column:
     """Mean direction in degrees of summed sines and cosines."""
     turn = F.degrees(F.atan2(sines, cosines))
     return turn - 360.0 * F.floor(turn / 360.0)
+
+
+def log_light(light: Column) -> Column:
+    """Light in stops, the darkest that counts being a millionth."""
+    return F.log2(F.greatest(light, F.lit(1e-6)))
+
+
+def kept_settings(settings: Column, keys: list[str]) -> Column:
+    """The settings of the given names that are set."""
+    return F.map_filter(settings, lambda k, v: k.isin(keys) & v.isNotNull())
+
+
+def setting_names(settings: Column) -> Column:
+    """The names of settings in order, as a line."""
+    return F.array_join(F.array_sort(F.map_keys(settings)), ", ")
+
+
+def decoded(text: Column, kind: str) -> Column:
+    """JSON as a value of a type; null where it can't be read."""
+    return F.when(F.is_valid_utf8(text) & F.try_parse_json(text).isNotNull(), F.from_json(text, kind))

@@ -230,3 +230,13 @@ def style_flags(spark: SparkSession, d: str) -> DataFrame:
     """Styles that settings texts use."""
     rows = spark.createDataFrame(list(enumerate(_TYPED)), "i int, s string")
     return rows.select("i", F.explode(scalars.style_flags(F.col("s"))).alias("style", "used"))
+
+
+@query("SELECT c_custkey AS photo_id, CASE WHEN c_custkey % 2 = 0 THEN 'Exposure2012, Tint' ELSE 'Exposure2012' END AS names, round(log2(greatest(c_acctbal, 1e-6)), 6) + 0.0 AS light, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS n FROM customer")
+def setting_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Settings that are shown, light in stops, and JSON that can or can't be read."""
+    n = F.col("c_custkey")
+    settings = F.create_map(F.lit("Exposure2012"), F.lit("1"), F.lit("Tint"), F.when(n % 2 == 0, "2"), F.lit("Other"), F.lit("3"))
+    text = F.when(n % 3 != 0, F.concat(F.lit('{"n": '), n.cast("string"), F.lit("}"))).otherwise("{oops")
+    kept = scalars.kept_settings(settings, ["Exposure2012", "Tint"])
+    return T(spark, d, "customer").select(n.alias("photo_id"), scalars.setting_names(kept).alias("names"), (F.round(scalars.log_light(F.col("c_acctbal")), 6) + F.lit(0.0)).alias("light"), scalars.decoded(text, "n long")["n"].alias("n"))

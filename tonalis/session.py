@@ -39,6 +39,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tonalis-tables-")
+        context.setCheckpointDir(base)
     folder = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
