@@ -13,6 +13,7 @@ whole.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Sequence
@@ -54,7 +55,9 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
-        self.control = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        words = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What every control word begins with, which is looked for first, and all of them as a pattern.
+        self.begins, self.control = os.path.commonprefix(words), "|".join(map(re.escape, words))
         self._forget()
 
     def _forget(self) -> None:
@@ -88,8 +91,9 @@ class WordCache:
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if len(self.slots) > MAX_WORDS:
             self._forget()
-        pattern = "|".join(p for p in (_JOINED_SPACE if self.keeps_space else "", self.control) if p)
-        odd = pc.match_substring_regex(column, pattern) if pattern else pa.array([False] * len(column))
+        odd = pc.match_substring_regex(column, _JOINED_SPACE) if self.keeps_space else pa.array(np.zeros(len(column), bool))
+        if self.control and (not self.begins or pc.any(pc.match_substring(column, self.begins)).as_py()):
+            odd = pc.or_(odd, pc.match_substring_regex(column, self.control))
         whole = {i: column[i].as_py() for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
         if whole:
             column = pc.if_else(odd, "", column)
