@@ -35,6 +35,8 @@ SAMPLE_CHARS = 1024
 MOST_LANGS = 512
 #: What the bound of acceptance lies under the least probability among the documents that set it.
 MARGIN = 0.05
+#: Documents that the second sample needs.
+LEAST_JUDGED = 20
 STEPS = 500
 UNKNOWN = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, n_positions long"
@@ -200,7 +202,8 @@ def learn(df: DataFrame) -> Network | None:
     they occur, other columns are ignored.  More than ``MOST_LANGS`` languages are
     an error.  ``least`` of the network is ``MARGIN`` under the least probability
     of its best language that a document of a second sample has, none of which is
-    in the first; with fewer documents the first sample sets it.
+    in the first; where that has under ``LEAST_JUDGED`` documents it is 0, as what
+    was learned by heart tells nothing of other texts.
     """
     known = df.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
@@ -218,7 +221,7 @@ def learn(df: DataFrame) -> Network | None:
     for k, name in enumerate(langs):
         own = [p for _, _, p in sorted((r["draw"], r["doc_id"], r["part"]) for r in chosen if r["lang"] == name)]
         data = own[:SAMPLE_DOCS]
-        judged += own[SAMPLE_DOCS : 2 * SAMPLE_DOCS] or data
+        judged += own[SAMPLE_DOCS : 2 * SAMPLE_DOCS]
         if data:
             w, _, sizes = windowed(data)
             full = np.ones(len(w), bool)
@@ -231,7 +234,7 @@ def learn(df: DataFrame) -> Network | None:
     other = no_language(x, -(-len(x) // len(langs)))
     network = train(langs, np.concatenate([x, other]), np.concatenate([y, np.full(len(other), len(langs))]))
     judged = [t for t in judged if has_letter(t)]
-    network.least = max(0.0, float(pooled(network, judged).max(axis=1).min()) - MARGIN) if judged else 0.0
+    network.least = max(0.0, float(pooled(network, judged).max(axis=1).min()) - MARGIN) if len(judged) >= LEAST_JUDGED else 0.0
     return network
 
 
