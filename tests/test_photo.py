@@ -193,6 +193,15 @@ def test_sharp_clusters_equal_numpy():
     assert sharp_zone.clustered(np.zeros((9, 3)), 3) is None and sharp_zone.zone_light(np.zeros((4, 4, 3), np.uint8), 1.0, 0.85, 99) is None
 
 
+def test_sharp_zone_of_half_levels():
+    # the second pixel of the second row is 153.5 grey, which a matrix product may make less
+    levels = np.array([[[142, 186, 161, 137], [128, 142, 137, 94], [103, 102, 115, 78], [132, 146, 96, 161]], [[86, 46, 53, 126], [166, 168, 175, 120], [156, 100, 153, 131], [94, 114, 160, 156]], [[164, 107, 125, 127], [58, 109, 95, 91], [192, 85, 172, 72], [121, 146, 184, 122]]], np.uint8).T
+    found, points = sharp_zone.zone_light(levels.repeat(2, axis=0).repeat(2, axis=1), 1.0, 0.85, 3)
+    assert found["zone_px"] == 3 and np.array_equal(points, sharp_zone.linear(levels[[2, 2, 3], [0, 1, 0]]))
+    every = np.stack(np.meshgrid(*[np.arange(0, 256, 3)] * 3), axis=-1).reshape(-1, 3).astype(np.uint8)
+    assert sharp_zone.grey_levels(every).tolist() == [round(0.299 * r + 0.587 * g + 0.114 * b) for r, g, b in every.tolist()]
+
+
 def test_queue_rules():
     q = Ledger(stale=900, most=2)
     second = 1_000_000
