@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tonalis.llm import brown, chat, decontam, langid, linededup, minhash, packing, secretscan, tokenfile, topk
+from tonalis.llm import brown, chat, common, decontam, langid, linededup, minhash, packing, secretscan, tokenfile, topk
 from tonalis.llm.common import checkpoint_dir, join_unique, release, saved, table
 from tonalis.llm.graph import components
 from tonalis.llm.tokens import WordCache, public_path
@@ -587,6 +587,22 @@ def test_hot_keys_join_like_others(spark):
     assert sorted(map(tuple, got.select("k", "id", "m").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "id", "m").collect()))
 
 
+def test_hot_keys_are_told_apart_without_a_join(spark):
+    left = spark.range(9000).select(F.when(F.col("id") < 5000, 1).otherwise(F.col("id") % 3000).alias("k"), "id")
+    got = join_unique(left, left.groupBy("k").agg(F.count("*").alias("n")), "k", "n", 9000)
+    assert "Anti" not in got._jdf.queryExecution().toString()
+
+
+def test_keys_that_may_be_wanted(spark):
+    left = spark.range(-20000, 20000).select(F.when(F.col("id") % 100 != 0, F.col("id")).alias("k"), F.lit("x").alias("bits"))
+    wanted = spark.range(-20000, 20000, 7).select(F.col("id").alias("k"))
+    got = common.only_maybe(left, wanted, "k")
+    keys = [r["k"] for r in got.collect()]
+    assert got.columns == left.columns and {k for k in range(-20000, 20000, 7) if k % 100} <= set(keys)
+    assert len(keys) == len(set(keys)) < 40000 * (1 / 7 + 6 / 7 * 0.2)
+    assert common.only_maybe(left, wanted.limit(0), "k").collect() == []
+
+
 def test_shared_folders(spark, tmp_path):
     df = saved(spark.range(5), "probe")
     folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
