@@ -556,6 +556,30 @@ def test_near_duplicates(spark, odd, none):
     assert minhash.classes(none).collect() == []
 
 
+def test_every_run_is_weighed_by_its_exact_document_count(spark):
+    # 400 rows: a run of two documents is in half a percent of them
+    texts = [(i if i % 7 else None, f"{words(i // 2, 12, 300)} {words(1000 + i, 15, 300)}") for i in range(398)] + [(1, None), (2, "")]
+    numbers, edges = word_numbers(pa.array([t for _, t in texts], pa.string()))
+    text, run, _ = minhash.shingles(numbers, edges)
+    held = Counter(run.tolist())
+    keys, shares, docs = minhash.common_runs(spark.createDataFrame(texts, "doc_id long, text string").repartition(5))
+    every = np.array(sorted(held), np.uint64)
+    # rows without doc_id count, too; runs that they alone hold weigh in no document
+    named = {r for t, r in zip(text.tolist(), run.tolist(), strict=True) if texts[t][0] is not None}
+    want = {r: 1 - math.log10(held[r] / 400) for r in named}
+    got = dict(zip(every.tolist(), minhash.Weights(keys, shares).of(every).tolist(), strict=True))
+    assert docs == 400 and len(keys) == len(named) and sorted(set(held.values()))[:2] == [1, 2]
+    assert all(math.isclose(got[r], w) for r, w in want.items())
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for most in (1, 255, 256, 1 << 40, 1 << 63):
+        x = rng.integers(0, most, 50, endpoint=True, dtype=np.uint64)
+        assert np.array_equal(minhash.unpacked(minhash.packed(x), 50), x)
+    assert minhash.unpacked(minhash.packed(np.zeros(3, np.int64)), 3).tolist() == [0, 0, 0]
+
+
 def test_pairs_that_only_seem_to_share_an_earlier_band_stay(spark):
     # two members meet in band 1 alone; in band 0 the low bytes of their draws agree, their keys don't
     drawn = np.zeros((2, minhash.ROUNDS * minhash.BINS), np.uint8)
