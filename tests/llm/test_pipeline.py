@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tonalis.llm import decontam, langid
+from tonalis.llm.common import give_heap_back
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LETTERS = {"en": "the quick brown fox jumps over a lazy dog and then it sleeps again", "de": "der schnelle braune fuchs springt über einen faulen hund und schläft dann wieder"}
@@ -155,3 +156,10 @@ def test_items_of_one_id_and_blocks(spark, monkeypatch):
 
 def test_walks_reach_the_target():
     assert decontam.walks(3) == 1 and decontam.walks(12) <= decontam.walks(48) <= decontam.MOST_WALKS
+
+
+def test_heap_is_given_back_before_a_stage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "give_heap_back", lambda s: (seen.append(s), give_heap_back(s)))
+    corpus_pipeline.packing(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "")
+    assert seen == [spark]
