@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import types
 import zlib
 from collections import Counter, defaultdict
@@ -66,6 +67,35 @@ def test_word_cache_equals_whole_encoding(name, keeps):
     assert got[-4].tolist() == [49407 if name == WORD else 50256]
 
 
+def test_new_words_are_encoded_joined():
+    cache = WordCache(public_path(BYTE), True)
+    plain, handed = cache.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    cache.tokenizer = Counting()
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abé'.,s7\n漢-") for _ in range(rng.randrange(2, 9))).strip() or "x" for _ in range(200)) for _ in range(30)]
+    got = cache.encode(texts)
+    assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(handed) < 100  # each text's first word, and the joined ones
+
+
+def test_ids_are_put_together_in_little_memory():
+    cache = WordCache(public_path(BYTE), True)
+    cache.encode(["some words"])
+    slots = np.zeros(2_000_000, np.int64)
+    tracemalloc.start()
+    ids, ends = cache._gather(slots)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == ends[-1] and len(set(ids[:: ends[0]].tolist())) == 1
+    assert peak < ids.nbytes + 2 * slots.nbytes + (8 << 20)
+
+
 def packed(df):
     return packing.pack_documents(df, public_path(WORD), with_ids=True).collect()
 
@@ -121,6 +151,13 @@ def test_packing_pads_little(spark, sf_dir):
     assert r[1] / r[0] > 0.985
 
 
+def test_heap_is_given_back_before_token_files(none, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(tokenfile, "give_heap_back", asked.append)
+    tokenfile.write_token_files(none, public_path(BYTE), f"file://{tmp_path}/files")
+    assert asked == [none.sparkSession]
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 255, 256, 257, 5000):

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_batches, rows, saved, shared_folder
+from .common import give_heap_back, map_batches, rows, saved, shared_folder
 from .tokens import word_cache
 
 BLOCK = 256
@@ -222,8 +222,10 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, end_id: int =
     rows with a null ``doc_id`` come first; repeated ids follow each other in an
     order given by their texts; repeated rows are written as often as they occur;
     other columns are ignored; an empty table gives no document.  Files go through
-    Spark's own writer, so a repeated task leaves one whole file.
+    Spark's own writer, so a repeated task leaves one whole file.  Before that the
+    executors give back unused heap: sorting grows it again beside the workers.
     """
+    give_heap_back(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer, keeps_space=True)

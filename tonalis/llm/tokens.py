@@ -4,7 +4,9 @@ Both vocabularies used here split a text at white space before any merge is
 applied, so the ids of a text are the ids of its white-space chunks joined
 together.  Natural text repeats its words, so each Python worker remembers the
 ids of the chunks that it has met (up to ``MAX_WORDS``) and hands only new ones
-to the tokenizers library.  The result is identical to the library's plain
+to the tokenizers library.  For a byte-level vocabulary, whose ids stand for all
+bytes of a text, new chunks are handed over joined to one text, and the ids are
+dealt to the chunks by their bytes.  The result is identical to the library's plain
 ``encode(text, add_special_tokens=False)``, which ``tests/llm/test_operators.py``
 checks on random texts.  That call reads the vocabulary's control words in a
 text, such as ``<|endoftext|>``, as their one id; texts that hold one are encoded
@@ -23,7 +25,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Remembered chunks; at this number a worker forgets all and starts again.
-MAX_WORDS = 800_000
+MAX_WORDS = 500_000
+#: New chunks that are joined to one text.
+JOINED = 1000
+#: Chunks whose ids are put together at once.
+GATHERED = 1 << 17
 #: Places where a byte-level chunk would not stand alone: a space at either
 #: end of the text or beside other white space.
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -58,6 +64,12 @@ class WordCache:
         words = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: What every control word begins with, which is looked for first, and all of them as a pattern.
         self.begins, self.control = os.path.commonprefix(words), "|".join(map(re.escape, words))
+        #: Bytes that each id of a byte-level vocabulary stands for, one for each character of its name; none where chunks can't be joined, as a control word may span them.
+        self.bytes = np.zeros(0, np.int64)
+        if keeps_space and not any(" " in w for w in words):
+            names = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.bytes = np.zeros(max(names.values()) + 1, np.int64)
+            self.bytes[list(names.values())] = list(map(len, names))
         self._forget()
 
     def _forget(self) -> None:
@@ -72,18 +84,38 @@ class WordCache:
             return
         if self.keeps_space:
             fresh = [w[1:] if w[:1] == " " else " " + w for w in fresh]
-        flat, sizes = array("I"), np.empty(len(fresh), np.int64)
-        for i in range(0, len(fresh), 10_000):
-            for n, e in enumerate(self.tokenizer.encode_batch_fast(fresh[i : i + 10_000], add_special_tokens=False)):
-                ids = e.ids
-                flat.extend(ids)
-                sizes[i + n] = len(ids)
-        ids = np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32)
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.lengths = np.concatenate([self.lengths, sizes])
+        # a space, then no white space at either end: what follows in a joined text begins anew at its own space
+        plain = np.array([bool(len(self.bytes)) and w[:1] == " " and bool(w[1:2].strip() and w[-1:].strip()) for w in fresh])
+        order = np.argsort(~plain, kind="stable")
+        n, words = int(plain.sum()), [fresh[i] for i in order.tolist()]
+        found = [self._joined(words[i : min(n, i + JOINED)]) for i in range(0, n, JOINED)]
+        found += [self._single(words[i : i + 10_000]) for i in range(n, len(words), 10_000)]
+        ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = np.argsort(order)
+        self.starts = np.concatenate([self.starts, (len(self.pool) + np.cumsum(sizes) - sizes)[place]])
+        self.lengths = np.concatenate([self.lengths, sizes[place]])
         self.pool = np.concatenate([self.pool, ids])
         self.slots.fresh.clear()
 
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        flat, sizes = array("I"), np.empty(len(words), np.int64)
+        for n, e in enumerate(self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            ids = e.ids
+            flat.extend(ids)
+            sizes[n] = len(ids)
+        return np.array(flat, np.uint32), sizes
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same from one text, if its ids stand for its bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        wanted = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64))
+        have = np.cumsum(self.bytes[ids])
+        ends = np.searchsorted(have, wanted) + 1
+        if not len(have) or have[-1] != wanted[-1] or (have[ends - 1] != wanted).any():
+            return self._single(words)
+        return ids, np.diff(ends, prepend=0)
+
     def encode(self, texts: Sequence[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of each text; null and empty texts have none."""
         if not len(texts):
@@ -119,8 +151,13 @@ class WordCache:
     def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.lengths[slots]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.starts[slots] - ends + lengths, lengths) + np.arange(total)], ends
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        for i in range(0, len(slots), GATHERED):
+            part, n = slots[i : i + GATHERED], lengths[i : i + GATHERED]
+            first = int(ends[i] - n[0])
+            last = first + int(n.sum())
+            ids[first:last] = self.pool[np.repeat(self.starts[part] - ends[i : i + GATHERED] + n, n) + np.arange(first, last)]
+        return ids, ends
 
 
 _caches: dict[tuple[str, bool], WordCache] = {}
