@@ -21,7 +21,7 @@ from tonalis.llm import brown, chat, common, decontam, langid, linededup, minhas
 from tonalis.llm.common import checkpoint_dir, join_unique, release, saved, table
 from tonalis.llm.graph import components
 from tonalis.llm.tokens import WordCache, public_path
-from tonalis.llm.words import word_numbers
+from tonalis.llm.words import normal_word, word_number, word_numbers
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -675,6 +675,16 @@ def test_shared_folders(spark, tmp_path):
         checkpoint_dir(cluster)
 
 
+def test_only_words_of_far_letters_are_lowered_by_python(monkeypatch):
+    rng, asked = random.Random(3), []
+    near = [chr(c) for c in range(33, 0x130) if not chr(c).isspace()] + list("“”…")
+    texts = ["".join(rng.choice(near) for _ in range(rng.randrange(1, 8))) for _ in range(3000)] + ["ΟΔΟΣ", "İx", "Ωß", "..."]
+    wanted = [n for n in (word_number(normal_word(t)) for t in texts) if n]
+    monkeypatch.setattr("tonalis.llm.words.normal_word", lambda w: asked.append(w) or normal_word(w))
+    assert word_numbers(pa.array(texts))[0].tolist() == wanted
+    assert sorted(asked) == sorted(["ΟΔΟΣ", "İx", "Ωß"])
+
+
 def test_draws_collide_as_weighted_jaccard():
     rng = np.random.default_rng(8)
     runs = rng.integers(1, 2**63, 400).astype(np.uint64)
