@@ -664,6 +664,19 @@ def test_keys_that_may_be_wanted(spark):
     assert common.only_maybe(left, wanted.limit(0), "k").collect() == []
 
 
+def test_shuffles_of_saved_tables_go_at_once(spark):
+    def shuffles():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")))
+
+    before, key = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    table_ = spark.range(1000).withColumn("k", F.col("id") % 7)
+    got = saved(table_.repartition("k").join(table_.groupBy("k").count(), "k"), "shuffled")
+    assert not shuffles() - before
+    assert got.count() == 1000
+    assert spark.conf.get(key, None) is None
+    release(got)
+
+
 def test_shared_folders(spark, tmp_path):
     df = saved(spark.range(5), "probe")
     folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
