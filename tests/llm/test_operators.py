@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
-from tonalis.llm import brown, chat, common, decontam, langid, linededup, minhash, packing, secretscan, tokenfile, topk
+from tonalis.llm import brown, chat, common, decontam, langid, linededup, minhash, packing, secretscan, tokenfile, tokens, topk
 from tonalis.llm.common import checkpoint_dir, join_unique, release, saved, table
 from tonalis.llm.graph import components
 from tonalis.llm.tokens import WordCache, public_path
@@ -84,6 +84,47 @@ def test_new_words_are_encoded_joined():
     assert len(handed) < 100  # each text's first word, and the joined ones
 
 
+def test_words_are_encoded_in_parts_joined():
+    cache = WordCache(public_path(WORD), False)
+    plain, handed = cache.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    cache.tokenizer = Counting()
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("abstéñßÉMΣдЁ7'") for _ in range(rng.randrange(1, 8))) for _ in range(500)]
+    marks = ["", "", "'", "''", ".", ",\"", "(", "***", "…", "“", "×", "</"]
+    texts = [" ".join(rng.choice(marks) + rng.choice([str.upper, str.title, str])(rng.choice(stems)) + rng.choice(marks) for _ in range(200)) for _ in range(40)]
+    texts += ["", " ", "' '' 'S 's x<|ENDOFTEXT|>y <|ENDOFTEXT|>. H\u0331 e.\u0301 İ, ǰ. \xa0. <|endoftext|>"]
+    got = cache.encode(texts)
+    assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    texts.append("H\u0331. x<|ENDOFTEXT|>y, İ 's.")
+    assert cache.encode(texts[-1:])[0].tolist() == plain.encode(texts[-1], add_special_tokens=False).ids
+    assert len(handed) < 50  # joined ones, and each word of other characters
+    handed.clear()
+    for text in ("plain words here , (", "PLAIN (Words, here"):
+        assert cache.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(handed) == 1  # no word comes again for its case or marks
+
+
+def test_parts_of_words_keep_their_bytes():
+    normal = Tokenizer.from_file(public_path(WORD)).normalizer.normalize_str
+    for c in tokens.LETTERS + tokens.MARKS:
+        assert len(normal(f"a{c}b").encode()) == len(f"a{c}b".encode()), c
+    assert tokens.LETTERS.isalpha() and not any(c.isalnum() or c.isspace() for c in tokens.MARKS)
+
+
+def test_other_vocabularies_take_words_whole(tmp_path):
+    plain = Tokenizer.from_file(public_path(WORD))
+    plain.normalizer = normalizers.NFC()
+    plain.save(path := str(tmp_path / "cased.json"))
+    cache, text = WordCache(path, False), "Some (words), SOME 'words'."
+    assert cache.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_ids_are_put_together_in_little_memory():
     cache = WordCache(public_path(BYTE), True)
     cache.encode(["some words"])
