@@ -110,6 +110,22 @@ def test_words_are_encoded_in_parts_joined():
     assert len(handed) == 1  # no word comes again for its case or marks
 
 
+def test_marks_after_a_word_are_encoded_apart():
+    cache = WordCache(public_path(BYTE), True)
+    plain, handed = cache.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    cache.tokenizer = Counting()
+    for text in ("a plain wörds are 7 here", "a plain' wörds... are, 7. here!?", "a plain! wörds, ... .. are? \u0301. a\n. 7' here' 's '", "... a. '", ". x.\n' a.", "' '' '"):
+        handed.clear()
+        assert cache.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert text == "a plain wörds are 7 here" or not re.search("plain|wörds|are|here", " ".join(handed))
+
+
 def test_parts_of_words_keep_their_bytes():
     normal = Tokenizer.from_file(public_path(WORD)).normalizer.normalize_str
     for c in tokens.LETTERS + tokens.MARKS:
